@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing, sharding
+from . import chat, exact_dedup, langid, mixing, packing, quality_model, quality_rules, sharding
 
 QUERIES = {
     f.__name__: f
     for f in (
         sharding.op1_feistel_sharding,
+        packing.op3_kk_packing,
         exact_dedup.op4_exact_dedup,
         chat.op5_chat_formatting,
         mixing.op6_source_mixing,
+        quality_model.op7_pu_quality,
+        quality_rules.op8_quality_rules,
+        langid.op10_language_id,
     )
 }
 
@@ -18,4 +22,5 @@ ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op5_chat_formatting": chat.OP5_SQL,
     "op6_source_mixing": mixing.OP6_SQL,
+    "op8_quality_rules": quality_rules.OP8_SQL,
 }
