@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, langid, mixing, packing, quality_model, quality_rules, sharding
+from . import chat, exact_dedup, langid, mixing, near_dedup, packing, quality_model, quality_rules, sharding, substring_dedup
 
 QUERIES = {
     f.__name__: f
     for f in (
         sharding.op1_feistel_sharding,
+        near_dedup.op2_chosen_path_dedup,
         packing.op3_kk_packing,
         exact_dedup.op4_exact_dedup,
         chat.op5_chat_formatting,
         mixing.op6_source_mixing,
         quality_model.op7_pu_quality,
         quality_rules.op8_quality_rules,
+        substring_dedup.op9_bwt_substring_dedup,
         langid.op10_language_id,
     )
 }
