@@ -12,7 +12,7 @@ doesn't grow with the data (8 bytes a slot for each 64 languages; MOST_LANGUAGES
 
 Defined cases: a null text or one without letters is `und` with score 0. Where no gram counts for any language, the
 first language by name is predicted with score 0. Without training rows everything is `und`. Repeated rows are scored alike; null ids
-are held in. An empty table gives an empty result. Further columns are carried by identify_documents() and otherwise ignored. Very long texts are
+are held in. An empty table gives an empty result. Further columns are carried by identify() where asked for. Very long texts are
 counted in blocks.
 """
 
@@ -184,31 +184,29 @@ def learn(docs: DataFrame, train: Column) -> GramFilters:
     return GramFilters.build(found)
 
 
-def identify(docs: DataFrame, model: GramFilters, keep: list[str]) -> DataFrame:
+def identify(docs: DataFrame, model: GramFilters, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep` of docs with __lang, __score (share of the evidence) and __cover (share of grams known)."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def verdicts(texts: pd.Series) -> pd.DataFrame:
         filters = shipped.value
-        for batch in batches:
-            texts = [x if isinstance(x, str) else "" for x in batch["__text"]]
-            out = batch.drop(columns="__text")
-            lang, score, cover = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-            spoken = [i for i, x in enumerate(texts) if any(map(str.isalpha, x))]
-            if spoken and filters.languages:
-                n, found = counted(filters, [texts[i] for i in spoken])
-                real = filters.corrected(n, found)
-                best, total = real.argmax(axis=1), real.sum(axis=1)
-                top = real[np.arange(len(spoken)), best]
-                score[spoken] = np.clip(np.where(total > 0, top / np.maximum(total, 1e-9), 0), 0, 1)
-                cover[spoken] = np.clip(top / np.maximum(n, 1), 0, 1)
-                for i, b in zip(spoken, best, strict=True):
-                    lang[i] = filters.languages[b]
-            yield out.assign(__lang=lang, __score=score, __cover=cover)
-
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]])
-    return rows.mapInPandas(run, f"{schema}, __lang string, __score double, __cover double")
+        texts = [x if isinstance(x, str) else "" for x in texts]
+        lang, score, cover = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        spoken = [i for i, x in enumerate(texts) if any(map(str.isalpha, x))]
+        if spoken and filters.languages:
+            n, found = counted(filters, [texts[i] for i in spoken])
+            real = filters.corrected(n, found)
+            best, total = real.argmax(axis=1), real.sum(axis=1)
+            top = real[np.arange(len(spoken)), best]
+            score[spoken] = np.clip(np.where(total > 0, top / np.maximum(total, 1e-9), 0), 0, 1)
+            cover[spoken] = np.clip(top / np.maximum(n, 1), 0, 1)
+            for i, b in zip(spoken, best, strict=True):
+                lang[i] = filters.languages[b]
+        return pd.DataFrame({"lang": lang, "score": score, "cover": cover})
+
+    verdict = F.pandas_udf(verdicts, "lang string, score double, cover double")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], verdict(F.col(text)).alias("__verdict"))
+    return rows.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"__verdict.{c}").alias(f"__{c}") for c in ("lang", "score", "cover")])
 
 
 def held_in(doc_id: Column) -> Column:
