@@ -126,8 +126,10 @@ def by_node(each: Callable[[pd.DataFrame], pd.DataFrame | None]) -> Callable[[It
             yield from apply(rest)
 
     def apply(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if not len(rows):  # a node may fill a whole batch
+            return
         nodes = rows["node"].to_numpy()
-        ends = np.flatnonzero(np.diff(nodes, append=nodes[-1:] + 1 if len(nodes) else [])) + 1
+        ends = np.r_[np.flatnonzero(nodes[1:] != nodes[:-1]) + 1, len(nodes)]
         out = [x for a, b in zip([0, *ends[:-1]], ends, strict=True) if b - a > 1 and (x := each(rows.iloc[a:b])) is not None]
         if out:
             yield pd.concat(out, ignore_index=True)
