@@ -1,7 +1,8 @@
 """Mixing sources to target weights.
 
 Tokens are summed per source, a repetition rate is derived for each source, and each document is emitted floor(rate) times
-plus once more if a uniform number hashed from the seed and its id is below the rate's fraction.
+plus once more if a uniform number hashed from the seed and its id is below the rate's fraction. Part of the seed is a shift of these
+numbers, modulo 1, one for each source: of SHIFTS equal steps the one whose draws bring the source's words nearest to its target.
 
 Targets: sources in code point order (null last) weigh 5, 2, 1, 5, 2, 1, ... and share the corpus' size by weight, but no
 target exceeds CAP times its source's size; what is cut off is shared again by weight. The end of that process is the level
@@ -9,7 +10,7 @@ L with sum(min(weight * L, CAP * size)) = total, found in one pass over the sour
 
 Defined cases: null and empty texts have size 0. A null source is a source of its own, apart from the empty one. A source
 without words has target 0 and its documents are taken 0 times. Repeated rows are taken as often as each other. An empty
-table gives an empty result. mix() carries all columns. Two runs agree, as nothing but ids, texts and seed decides.
+table gives an empty result. mix() carries all columns. Two runs agree, as nothing but ids, texts, sources and seed decides.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .common import cut, documents, n_words, sized
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix-1"
+SHIFTS = 32
+_RANGE = 1 << 32
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -44,15 +47,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     )
 
 
-def uniform(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) from the first 32 bits of md5(seed:id)."""
+def hashed(doc_id: Column, seed: str = SEED) -> Column:
+    """The first 32 bits of md5(seed:id), as a long."""
     head = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 8)
-    return F.conv(head, 16, 10).cast("long") / F.lit(4294967296.0)
+    return F.conv(head, 16, 10).cast("long")
 
 
-def copies(rate: Column, doc_id: Column, seed: str = SEED) -> Column:
+def copies(rate: Column, h: Column, shift: Column) -> Column:
     whole = F.floor(rate)
-    return (whole + F.when(uniform(doc_id, seed) < rate - whole, 1).otherwise(0)).cast("long")
+    uniform = F.pmod(h + shift * F.lit(_RANGE // SHIFTS), F.lit(_RANGE)) / F.lit(float(_RANGE))
+    return (whole + F.when(uniform < rate - whole, 1).otherwise(0)).cast("long")
 
 
 def rated(rows: DataFrame, targets: DataFrame) -> DataFrame:
@@ -62,20 +66,29 @@ def rated(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.join(sized(keys), ["__none", "__source"]).drop("__none", "__source")
 
 
+def planned(slim: DataFrame, seed: str = SEED) -> DataFrame:
+    """slim (doc_id, source, size), a table from cut(): source, source_size, target, rate, shift."""
+    rows = rated(slim, cut(source_targets(slim), "targets")).withColumn("h", hashed(F.col("doc_id"), seed))
+    taken = [F.sum(F.col("size") * copies(F.col("rate"), F.col("h"), F.lit(k).cast("long"))) for k in range(SHIFTS)]
+    sums = rows.groupBy("source", "source_size", "target", "rate").agg(*[t.alias(f"t{k}") for k, t in enumerate(taken)])
+    off = F.array(*[F.abs(F.col(f"t{k}") - F.col("target")) for k in range(SHIFTS)])
+    shift = F.array_position(off, F.array_min(off)) - 1
+    return cut(sums.select("source", "source_size", "target", "rate", shift.cast("long").alias("shift")), "targets")
+
+
 def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """docs (doc_id, text, source): doc_id, source, size, source_size, target, rate, copies for every row."""
     slim = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix")
-    targets = cut(source_targets(slim), "targets")
-    return rated(slim, targets).withColumn("copies", copies(F.col("rate"), F.col("doc_id"), seed))
+    rows = rated(slim, planned(slim, seed))
+    return rows.withColumn("copies", copies(F.col("rate"), hashed(F.col("doc_id"), seed), F.col("shift"))).drop("shift")
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix itself: all columns of docs, each row as often as it is taken."""
-    sizes = docs.select("source", n_words(F.col("text")).alias("size"))
-    targets = cut(source_targets(sizes), "targets").select(
-        "source", F.col("source_size").alias("__size"), F.col("target").alias("__target"), F.col("rate").alias("__rate")
-    )
-    rows = rated(docs, targets).withColumn("__copies", copies(F.col("__rate"), F.col("doc_id"), seed)).where("__copies > 0")
+    slim = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix")
+    plan = planned(slim, seed).select("source", F.col("rate").alias("__rate"), F.col("shift").alias("__shift"))
+    n = copies(F.col("__rate"), hashed(F.col("doc_id"), seed), F.col("__shift"))
+    rows = rated(docs, plan).withColumn("__copies", n).where("__copies > 0")
     rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -102,12 +115,19 @@ WITH d AS (
 ), t AS (
     SELECT source, source_size, least(coalesce((SELECT level FROM l) * weight, CAST(most AS DOUBLE)), CAST(most AS DOUBLE)) AS target FROM w
 ), r AS (
-    SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate
+    SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), h AS (
+    SELECT d.*, CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM r d
+), k AS (
+    SELECT source, k, abs(CAST(sum(size * (CAST(floor(rate) AS BIGINT) + CAST((h + k * 134217728) % 4294967296 / 4294967296.0 :: DOUBLE < rate - floor(rate) AS INT))) AS DOUBLE)
+        - any_value(target)) AS off
+    FROM h, range(32) x(k) GROUP BY source, k
+), s AS (
+    SELECT source, k AS shift FROM k QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, k) = 1
 ), c AS (
-    SELECT *, CAST(floor(rate) AS BIGINT)
-        + CASE WHEN CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < rate - floor(rate)
-          THEN 1 ELSE 0 END AS copies FROM r
+    SELECT h.*, CAST(floor(rate) AS BIGINT) + CAST((h + shift * 134217728) % 4294967296 / 4294967296.0 :: DOUBLE < rate - floor(rate) AS INT) AS copies
+    FROM h JOIN s ON h.source IS NOT DISTINCT FROM s.source
 )
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM c
 """
