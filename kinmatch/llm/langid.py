@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents
+from .common import crc_mod, documents, uniform
 
 ORDERS = (2, 3, 4)
 SAMPLE = 1000
@@ -87,8 +87,9 @@ class GramFilters:
         fill = [((table[k // bits] >> kind(k % bits)) & kind(1)).mean() for k in range(len(languages))]
         return cls(languages, table, np.array(fill) ** HASHES, log2)
 
-    def hits(self, c: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the texts that begin at starts in c: grams, and grams reported by each language's filter."""
+    def hits(self, c: np.ndarray, starts: np.ndarray, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Of the texts that begin at starts in c: grams, and grams reported by each language's filter. With a limit, of those grams
+        that begin in the first `limit` characters of the first text."""
         bits = self.table.itemsize * 8
         n, found = np.zeros(len(starts), np.int64), np.zeros((len(starts), len(self.languages)), np.int64)
         owner = np.searchsorted(starts, np.arange(len(c)), "right") - 1
@@ -99,6 +100,8 @@ class GramFilters:
             keep = own == owner[order - 1 :]  # no gram runs over into the next text
             blank = c == 32
             keep &= ~(blank[: len(own)] & blank[1 : len(own) + 1])  # runs of blanks are no evidence
+            if limit is not None:
+                keep[limit:] = False
             h, own = gram_hashes(c, order)[keep], own[keep]
             if not len(h):
                 continue
@@ -136,17 +139,18 @@ def counted(model: GramFilters, texts: list[str]) -> tuple[np.ndarray, np.ndarra
 
     for i, text in enumerate(texts):
         c = codes(text)
-        step = BLOCK - max(ORDERS)
-        for at in range(0, len(c), step):
-            # a piece's last grams belong to the next piece, so pieces overlap by the longest order less one
-            piece = c[at : at + step + max(ORDERS) - 1]
-            if at and len(piece) < max(ORDERS):
-                break
-            group.append(i)
-            arrays.append(piece)
-            size += len(piece)
-            if size >= BLOCK:
-                flush()
+        if len(c) > BLOCK:
+            # pieces overlap, so that each gram is whole in the piece where it begins
+            for at in range(0, len(c), BLOCK):
+                x, y = model.hits(c[at : at + BLOCK + max(ORDERS) - 1], np.zeros(1, np.int64), BLOCK)
+                n[i] += x[0]
+                found[i] += y[0]
+            continue
+        group.append(i)
+        arrays.append(c)
+        size += len(c)
+        if size >= BLOCK:
+            flush()
     flush()
     return n, found
 
@@ -154,11 +158,16 @@ def counted(model: GramFilters, texts: list[str]) -> tuple[np.ndarray, np.ndarra
 def learn(docs: DataFrame, train: Column) -> GramFilters:
     """Filters from the rows of docs (doc_id, text, lang) where train holds."""
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    chosen = rows.withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= SAMPLE).select("doc_id", "lang").distinct()
-    languages = rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
-    if languages > MOST_LANGUAGES:
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    # about twice the sample by hash, then exactly the smallest: what a task has to order doesn't grow with the corpus
+    share = F.lit(1.0)
+    for r in counts:
+        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 2 * SAMPLE / r["n"]))).otherwise(share)
+    order = Window.partitionBy("lang").orderBy(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "doc_id")
+    near = rows.where(uniform(F.col("doc_id")) < share).distinct()
+    chosen = near.withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= SAMPLE).select("doc_id", "lang")
     # SAMPLE ids a language at most: that bounds the broadcast
     sample = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
 

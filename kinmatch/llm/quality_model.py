@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, documents, table
+from .common import crc_mod, cut, documents, drawn, table
 
 POSITIVES = 4000
 UNLABELLED = 8000
@@ -135,11 +135,12 @@ def train(rows: DataFrame, labels: DataFrame) -> Scorer | float:
     marks = labels.where(held_in(F.col("doc_id")) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n, ones = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("quality") == 1).cast("int")), F.lit(0))).first()
     prior = min(0.99, max(0.01, ones / n)) if n else 0.5
-    by = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")]
     known = rows.where(held_in(F.col("doc_id")))
-    side = marks.where("quality = 1").orderBy(*by).limit(POSITIVES).select("doc_id")
-    pos = known.join(F.broadcast(side), "doc_id", "left_semi").orderBy(*by).limit(POSITIVES).toPandas()  # both bounded by POSITIVES
-    unl = known.orderBy(*by).limit(UNLABELLED).toPandas()
+    side = drawn(marks.where("quality = 1"), POSITIVES).select("doc_id")
+    pos = known.join(F.broadcast(side), "doc_id", "left_semi").limit(2 * POSITIVES).toPandas()  # bounded, as ids repeat at most by accident
+    unl = drawn(known, UNLABELLED).toPandas()
+    # the collected rows in one order, whatever task gave them
+    pos, unl = (x.assign(_x=x["x"].map(lambda v: tuple(v))).sort_values(["doc_id", "_x"]) for x in (pos, unl))
     if not len(pos) or not len(unl):
         return prior
     return fit(np.stack(pos["x"].tolist()), np.stack(unl["x"].tolist()), prior)
