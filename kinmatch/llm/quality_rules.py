@@ -33,7 +33,10 @@ LEAST_ROWS = 30
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, lang, source): the counts and rates of every text."""
+    """docs (doc_id, text, lang, source): the counts and rates of every text, as a table from cut().
+
+    It is written for two reasons: it is read twice, and a filter pushed below would put the sort of windows inside a lambda.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     core = F.btrim(text, F.lit(BLANKS))
     m = docs.select(
@@ -73,16 +76,17 @@ def measure(docs: DataFrame) -> DataFrame:
     none = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     step = lambda acc, i: F.struct((i + 3).alias("end"), (acc["n"] + i + 3 - F.greatest(i, acc["end"])).alias("n"))
     m = m.withColumn("n_repeat_words", F.aggregate("at", none, step, lambda acc: acc["n"]).cast("long")).drop("at")
-    return m.select(
+    m = m.select(
         "*",
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
-        F.expr("coalesce(1000 * n_symbols div n_words, 0)").alias("symbols"),
-        F.expr("coalesce(1000 * n_capitals div word_chars, 0)").alias("capitals"),
-        F.expr("coalesce(1000 * n_repeat_words div n_words, 0)").alias("repeats"),
-        F.expr("coalesce(1000 * n_dup_lines div n_lines, 0)").alias("lines"),
-        F.expr("coalesce(1000 * n_distinct div n_words, 0)").alias("distinct"),
-        F.expr("coalesce(1000 * word_chars div n_words, 0)").alias("length"),
+        F.expr("coalesce(1000 * n_symbols div nullif(n_words, 0), 0)").alias("symbols"),
+        F.expr("coalesce(1000 * n_capitals div nullif(word_chars, 0), 0)").alias("capitals"),
+        F.expr("coalesce(1000 * n_repeat_words div nullif(n_words, 0), 0)").alias("repeats"),
+        F.expr("coalesce(1000 * n_dup_lines div nullif(n_lines, 0), 0)").alias("lines"),
+        F.expr("coalesce(1000 * n_distinct div nullif(n_words, 0), 0)").alias("distinct"),
+        F.expr("coalesce(1000 * word_chars div nullif(n_words, 0), 0)").alias("length"),
     )
+    return cut(m, "measured")
 
 
 def sketch_bin(v: Column) -> Column:
@@ -141,7 +145,7 @@ def judge(measured: DataFrame) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(cut(measure(documents(spark, sf_dir)), "measured")).select(
+    return judge(measure(documents(spark, sf_dir))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
