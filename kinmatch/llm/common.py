@@ -88,3 +88,8 @@ def drawn(rows: DataFrame, most: int) -> DataFrame:
     share = min(1.0, 2 * most / max(1, rows.count()))
     near = rows.where(uniform(F.col("doc_id")) < share)
     return near.orderBy(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "doc_id").limit(most)
+
+
+def with_text_ids(docs: DataFrame) -> DataFrame:
+    """doc_id as text, and text: pandas holds integers with nulls among them as floats, which can't tell large ones apart."""
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, sized
+from .common import cut, documents, sized, with_text_ids
 from .components import components
 
 SHINGLE = 5
@@ -85,7 +85,7 @@ def key_of(s: np.ndarray) -> tuple[bytes, int]:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key, digest, sig, roots of every row; the last four are null without shingles."""
+    """doc_id, n_shingles, key, digest, sig, roots of every row; without shingles the key is 0 and the last three are null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         salt = _mix(np.arange(1, TREES * BRANCHES + 1, dtype=np.uint64))
@@ -99,13 +99,14 @@ def sketch(docs: DataFrame) -> DataFrame:
                     roots = _mix(values[: len(salt)] ^ salt).view(np.int64)
                     rows.append((len(s), key, digest, short(values).tobytes(), roots))
                 else:
-                    rows.append((0, None, None, None, None))
-            out = pd.DataFrame(rows, columns=["n_shingles", "key", "digest", "sig", "roots"]).astype({"key": "Int64"})
+                    rows.append((0, 0, None, None, None))
+            out = pd.DataFrame(rows, columns=["n_shingles", "key", "digest", "sig", "roots"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_shingles long, key long, digest binary, sig binary, roots array<long>")
+    kind = docs.schema["doc_id"].dataType
+    rows = with_text_ids(docs).mapInPandas(run, "doc_id string, n_shingles long, key long, digest binary, sig binary, roots array<long>")
+    return rows.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def by_node(each: Callable[[pd.DataFrame], pd.DataFrame | None]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -314,7 +315,8 @@ def link_documents(docs: DataFrame) -> DataFrame:
     named = named.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = named.join(least, "label").select("key", "component_id")
-    return rows.select("doc_id", "n_shingles", "key").join(named, "key", "left").select(
+    keyed = F.when(F.col("n_shingles") > 0, F.col("key")).alias("key")
+    return rows.select("doc_id", "n_shingles", keyed).join(named, "key", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
