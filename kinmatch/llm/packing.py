@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, with_text_ids
 
 CAPACITY = 2048
 CLOSE = 1
@@ -130,10 +130,9 @@ def pieces(docs: DataFrame, path: str) -> DataFrame:
                 serial += 1
                 for start, length in cuts(len(ids)):
                     rows.append((doc_id, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids), serial))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"]).astype({"doc_id": batch["doc_id"].dtype})
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, salt long")
+    return with_text_ids(docs).mapInPandas(run, "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, salt long")
 
 
 def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -145,7 +144,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         # a fixed order, so that a lost task's second run gives the same windows
-        rows = rows.sort_values(["doc_id", "start", "ids_crc32", "salt"], kind="stable").reset_index(drop=True)
+        rows = rows.assign(_id=rows["doc_id"].fillna("")).sort_values(["_id", "start", "ids_crc32", "salt"], kind="stable").reset_index(drop=True)
         sizes = rows["length"].tolist()
         small = [i for i, n in enumerate(sizes) if n < CAPACITY]
         groups = [[i] for i, n in enumerate(sizes) if n >= CAPACITY] + [[small[j] for j in g] for g in pack_block([sizes[i] for i in small])] if sizes else []
@@ -157,11 +156,11 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
                 at += sizes[i]
         return rows.assign(sequence_id=rows["block"].astype(np.int64) * (1 << 32) + sequence, offset=offset)[out]
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    return made.withColumn("block", block).groupBy("block").applyInPandas(
-        run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    packed = made.withColumn("block", block).groupBy("block").applyInPandas(
+        run, "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )
+    return packed.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def op3_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, documents, drawn, table
+from .common import crc_mod, cut, documents, drawn, table, with_text_ids
 
 POSITIVES = 4000
 UNLABELLED = 8000
@@ -73,8 +73,8 @@ def featured(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "x": [features(t) if isinstance(t, str) else [0.0] * len(FEATURES) for t in batch["text"]]})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, x array<double>")
+    rows = with_text_ids(docs).mapInPandas(run, "doc_id string, x array<double>")
+    return rows.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 @dataclass

@@ -338,9 +338,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET,
             made.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield made
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    held = rows.join(spans.hint("merge"), "row", "left").select("doc_id", "text", "found")
-    return held.mapInPandas(run, f"doc_id {kind}, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, kept binary")
+    # ids as text: pandas holds integers with nulls among them as floats
+    held = rows.join(spans.hint("merge"), "row", "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "found")
+    made = held.mapInPandas(run, "doc_id string, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, kept binary")
+    return made.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def op9_bwt_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
