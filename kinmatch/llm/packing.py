@@ -7,6 +7,8 @@ emptiest of the other, until one is left. If one of its windows exceeds the capa
 
 Only piece lengths move between machines; ids are made once, where the text is read, and a piece keeps their checksum.
 
+Ids are those of `tokenizers` at its defaults: the added tokens of the vocabulary are matched inside texts and give their own ids.
+
 Defined cases: null and empty texts are the closing id alone. Repeated rows are packed as often as they occur; null ids are ids. An
 empty table gives an empty result. Further columns are ignored. A very long text makes many full windows and one remainder.
 """
@@ -46,20 +48,40 @@ def default_path() -> str:
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """A byte-level BPE of the vocabulary in `path`, run by tiktoken: the same ids, several times faster."""
+    """A byte-level BPE of the vocabulary in `path` with its added tokens, run by tiktoken: the same ids, several times faster."""
     import tiktoken
 
     kept = [b for low, high in KEPT_BYTES for b in range(low, high + 1)]
     moved = [b for b in range(256) if b not in kept]
     byte = {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(moved)}
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        held = json.load(f)
+    added = {x["content"]: x["id"] for x in held["added_tokens"]}
+    if any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in held["added_tokens"]):
+        raise ValueError(f"{path}: added tokens that take blanks or whole words only are not supported")
+    vocab = held["model"]["vocab"]
     ranks = {bytes(byte[x] for x in word): i for word, i in vocab.items() if all(x in byte for x in word) and i < 50_256}
-    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
+
+@lru_cache(maxsize=4)
+def reference(path: str, added: bool):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = not added
+    return whole
 
 
-def ids_of(text: str | None, path: str) -> np.ndarray:
-    ids = encoder(path).encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
+def ids_of(text: str | None, path: str, added: bool = False) -> np.ndarray:
+    """The ids of a text and the closing one. With `added`, added tokens inside the text give their own ids; else they are read as text."""
+    if not text:
+        ids = np.zeros(0, np.uint32)
+    else:
+        try:
+            ids = encoder(path).encode_to_numpy(text, allowed_special="all" if added else set(), disallowed_special=())
+        except ValueError:  # tiktoken's pattern gives up on runs of about a million bytes of white space
+            ids = np.array(reference(path, added).encode(text, add_special_tokens=False).ids, np.uint32)
     return np.append(ids, np.uint32(CLOSE)).astype("<u4")
 
 
@@ -126,7 +148,7 @@ def pieces(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = ids_of(text if isinstance(text, str) else None, path)
+                ids = ids_of(text if isinstance(text, str) else None, path, added=True)
                 serial += 1
                 for start, length in cuts(len(ids)):
                     rows.append((doc_id, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids), serial))

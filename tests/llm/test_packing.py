@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -18,6 +19,23 @@ def test_ids_equal_the_reference_tokenizer(odd_items):
         assert p.ids_of(t, p.default_path()).tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1]
 
 
+MARK = "<|endoftext|>"
+
+
+@pytest.mark.parametrize("texts", [
+    [f"a{MARK}b", MARK, MARK * 3, f"x  {MARK}  y\n", f"<|endof{MARK}text|>", MARK[:-1], MARK + " é " * 3000 + MARK],
+    [f"{MARK} " + " " * 1_000_100 + "z", "\n" * 1_000_100],
+], ids=["added", "blanks"])
+def test_packed_ids_equal_the_tokenizer_at_its_defaults(spark, texts):
+    whole = Tokenizer.from_file(p.default_path())
+    rows = p.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)).collect()
+    want = Counter()
+    for i, t in enumerate(texts):
+        ids = np.array([*whole.encode(t, add_special_tokens=False).ids, p.CLOSE], "<u4")
+        want.update((i, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids)) for start, n in p.cuts(len(ids)))
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in rows) == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 256), min_size=1, max_size=80), st.integers(1, 12))
 def test_differencing_keeps_every_item(sizes, k):
