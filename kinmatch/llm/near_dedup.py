@@ -14,8 +14,8 @@
    several components have all pairs of chunks compared, so nothing is left out.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and are linked with nothing. With fewer than five words the whole
-sequence is the one shingle. Equal sets are linked whatever their order or ids; repeated rows fall into one class. A null id never names a
-component that has another id. An empty table gives an empty result. Further columns are carried by deduplicate() and ignored otherwise.
+sequence is the one shingle. Equal sets are linked whatever their order or ids; repeated rows fall into one class. Rows with a null id link
+and are linked like others; a null id never names a component that has another id. An empty table gives an empty result. Further columns are carried by deduplicate() and ignored otherwise.
 Very long texts are hashed in blocks. Shingles are told apart by 64-bit and sets by 128-bit hashes.
 """
 
@@ -26,10 +26,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, sized, with_text_ids
+from .common import cut, documents, sized
 from .components import components
 
 SHINGLE = 5
@@ -84,8 +84,13 @@ def key_of(s: np.ndarray) -> tuple[bytes, int]:
     return digest, int.from_bytes(digest[:8], "little", signed=True)
 
 
+def row_hash() -> Column:
+    """Tells rows apart by id and text. A null id has one too, so that its text can be found again."""
+    return F.xxhash64("doc_id", "text").alias("row")
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key, digest, sig, roots of every row; without shingles the key is 0 and the last three are null."""
+    """doc_id, row, n_shingles, key, digest, sig, roots of every row; without shingles the key is 0 and the last three are null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         salt = _mix(np.arange(1, TREES * BRANCHES + 1, dtype=np.uint64))
@@ -102,10 +107,12 @@ def sketch(docs: DataFrame) -> DataFrame:
                     rows.append((0, 0, None, None, None))
             out = pd.DataFrame(rows, columns=["n_shingles", "key", "digest", "sig", "roots"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
+            out.insert(1, "row", batch["row"].to_numpy())
             yield out
 
     kind = docs.schema["doc_id"].dataType
-    rows = with_text_ids(docs).mapInPandas(run, "doc_id string, n_shingles long, key long, digest binary, sig binary, roots array<long>")
+    held = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", row_hash())  # ids as in with_text_ids()
+    rows = held.mapInPandas(run, "doc_id string, row long, n_shingles long, key long, digest binary, sig binary, roots array<long>")
     return rows.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
@@ -256,9 +263,11 @@ def full_sets(docs: DataFrame, reps: DataFrame, keys: DataFrame) -> DataFrame:
             held = [(key_of(s)[1], s.astype("<u8").tobytes()) for s in made if len(s)]
             yield pd.DataFrame(held, columns=["key", "members"])
 
-    wanted = cut(reps.join(keys, "key", "left_semi").select(F.col("doc_id")), "wanted")
-    rows = docs.select("doc_id", "text").join(sized(wanted), "doc_id", "left_semi")
-    return rows.select("text").mapInPandas(run, "key long, members binary")
+    wanted = cut(reps.join(keys, "key", "left_semi").select("row"), "wanted")
+    rows = docs.select("doc_id", "text", row_hash()).join(sized(wanted), "row", "left_semi")
+    # copies without an id share their hash: one of them goes on
+    unnamed = rows.where("doc_id is null").groupBy("row").agg(F.first("text").alias("text"))
+    return rows.where("doc_id is not null").select("text").union(unnamed.select("text")).mapInPandas(run, "key long, members binary")
 
 
 def confirm(rows: DataFrame, labels: DataFrame | None, sets: DataFrame, turn: int, last: bool) -> DataFrame:
@@ -290,7 +299,7 @@ def confirm(rows: DataFrame, labels: DataFrame | None, sets: DataFrame, turn: in
 def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sketches of all rows, (key, label) of the classes with a link)."""
     rows = cut(sketch(docs), "sketch")
-    reps = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("key").alias("key"), F.first("sig").alias("sig"), F.first("roots").alias("roots"))
+    reps = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("row"), F.first("key").alias("key"), F.first("sig").alias("sig"), F.first("roots").alias("roots"))
     reps = cut(reps, "classes")
     held = cut(active(leaves(reps), reps), "active")
     sets = cut(full_sets(docs, reps, held.select("key").distinct()), "sets")

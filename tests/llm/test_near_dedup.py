@@ -83,6 +83,19 @@ def test_odd_rows(spark, odd_items):
     check(spark, [(i, t) for i, t, *_ in odd_items])
 
 
+def test_rows_without_an_id_link_others(spark):
+    rng = random.Random(4)
+    items = []
+    for i, n in enumerate((1, 3)):  # both ends are near the middle, but not each other; the middle occurs n times
+        words = [f"m{i}x{k}" for k in range(100)]
+        left, right = [*words], [*words]
+        left[20], left[50], right[70], right[95] = "l0", "l1", "r0", "r1"
+        items += [(10 * i + 1, " ".join(left)), (10 * i + 2, " ".join(right))] + [(None, " ".join(words))] * n
+    rng.shuffle(items)
+    check(spark, items)
+    assert sorted(c for (_, _, c) in brute(items).elements()) == [1] * 3 + [11] * 5
+
+
 def test_kept_documents(odd_docs, odd_items):
     kept = nd.deduplicate(odd_docs)
     assert kept.columns == odd_docs.columns
