@@ -4,14 +4,14 @@
 2. A class has SIGNATURE minwise values. In each tree the root sends it, for every root position, to the node named by its value there.
    A node with more than SMALL classes branches again on BRANCHES positions chosen by the node, down to DEPTH levels. A pair with similarity s
    stays together at a branching with probability 1 - (1 - s)^BRANCHES; at s = 0.75 it is separated in all TREES * BRANCHES root paths with
-   probability below 1e-6.
+   probability 1.7e-7.
 3. In a node, signatures are compared exhaustively; classes whose best estimate is below FLOOR leave. The standard error at 0.75 is 0.038,
-   so a true link is lost here with a chance of about 5e-5.
+   so a true link is lost here with a chance of about 7.5e-5.
 4. What is left meets in the same nodes with its full sets, where all intersections are counted and links are confirmed. A node returns a
    spanning forest of its links, not its pairs. Trees run in rounds: classes found to be connected count as one in
    the next round, and nodes with one such component are not looked at again. So copies don't multiply the work.
-5. Leaves with more than LARGEST classes are cut into chunks by a hash that changes every round; in the last round those which still hold
-   several components have all pairs of chunks compared, so nothing is left out.
+5. Leaves with more than LARGEST classes are cut into chunks by a hash that changes every round; in the last round those of all
+   roots, also of earlier rounds, which still hold several components have all pairs of chunks compared, so nothing is left out.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and are linked with nothing. With fewer than five words the whole
 sequence is the one shingle. Equal sets are linked whatever their order or ids; repeated rows fall into one class. Rows with a null id link
@@ -305,8 +305,12 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = cut(full_sets(docs, reps, held.select("key").distinct()), "sets")
     labels = None
     for turn, (a, b) in enumerate(ROUNDS):
-        part = held.where((F.col("root") >= a) & (F.col("root") < b)).select("node", "key", "size")
-        found = components(confirm(part, labels, sets, turn, turn == len(ROUNDS) - 1)).withColumnRenamed("component", "to")
+        last = turn == len(ROUNDS) - 1
+        due = (F.col("root") >= a) & (F.col("root") < b)
+        if last:  # earlier rounds compared oversized leaves inside chunks only
+            due |= F.col("size") > LARGEST
+        part = held.where(due).select("node", "key", "size")
+        found = components(confirm(part, labels, sets, turn, last)).withColumnRenamed("component", "to")
         if labels is None:
             labels = found.select(F.col("id").alias("key"), F.col("to").alias("label"))
         else:

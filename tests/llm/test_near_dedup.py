@@ -79,6 +79,17 @@ def test_small_leaves_and_chunks(spark, crowd, monkeypatch):
     check(spark, crowd)
 
 
+def test_oversized_leaves_of_early_rounds_are_compared_whole(spark, monkeypatch):
+    """Pairs that share half of their words with all others; the last round has no roots of its own."""
+    for name, value in (("SMALL", 4), ("LARGEST", 4), ("DEPTH", 1), ("ROUNDS", ((0, 1), (1, 1)))):
+        monkeypatch.setattr(nd, name, value)
+    items = []
+    for i in range(20):
+        words = [f"g{k}" for k in range(100)] + [f"u{i}x{k}" for k in range(60)]
+        items += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "end"]))]
+    check(spark, items)
+
+
 def test_odd_rows(spark, odd_items):
     check(spark, [(i, t) for i, t, *_ in odd_items])
 
