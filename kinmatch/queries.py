@@ -792,4 +792,4 @@ def pair_features(spark, sf_dir):
 @query()
 def gbt_scores(spark, sf_dir):
     rows = _features(spark, sf_dir).persist()  # boosting reads them once per tree
-    return model.score(rows, model.fit(rows, params=model.GbtParams(max_iter=10)))
+    return model.score(rows, model.fit(rows))

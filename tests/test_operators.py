@@ -170,3 +170,15 @@ def test_model_takes_missing_values(spark, tmp_path):
     right = [r for r in scored.collect() if (r["p"] > 0.5) == r["label"]]
     assert len(right) > 150 and model.best_iteration(fitted) >= 1 and model.refit_iterations(100) == 114
     assert model.importances(fitted, names)[0][0] == "n_ratio"
+
+
+def test_the_query_fits_the_operators_default_model(spark, monkeypatch):
+    from kinmatch import queries
+
+    given = []
+    fit = model.fit
+    monkeypatch.setattr(queries, "_features", lambda spark, sf_dir: spark.range(1))
+    monkeypatch.setattr(model, "fit", lambda rows, **more: given.append(more.get("params", fit.__defaults__[1])))
+    monkeypatch.setattr(model, "score", lambda rows, fitted: rows)
+    queries.gbt_scores(spark, "")
+    assert given == [model.GbtParams()]
