@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from kinmatch.llm import substring_dedup as sd
 
@@ -22,10 +23,28 @@ def brute(texts, length):
     return out
 
 
-def check(df, items, length, **kw):
-    got = Counter((r["doc_id"], r["n_bytes"], bytes(r["kept"]), str([tuple(s) for s in r["spans"]])) for r in sd.remove_repeats(df, length, **kw).collect())
+def passages(texts, length):
+    """The runs of words that go with windows of `length` words found twice."""
+    split = [b.split() for b in texts]
+    seen = Counter(tuple(w[p : p + length]) for w in split for p in range(len(w) - length + 1))
+    out = []
+    for w in split:
+        held = np.zeros(len(w), bool)
+        for p in range(len(w) - length + 1):
+            if seen[tuple(w[p : p + length])] > 1:
+                held[p : p + length] = True
+        out.append(sd.runs(held))
+    return out
+
+
+def check(df, items, length, passage=12, **kw):
+    plain = lambda spans: str([tuple(s) for s in spans])
+    rows = sd.remove_repeats(df, length, passage, **kw).collect()
+    got = Counter((r["doc_id"], r["n_bytes"], bytes(r["kept"]), plain(r["spans"]), plain(r["passages"])) for r in rows)
     texts = [(t or "").encode() for _, t in items]
-    want = Counter((d, len(b), kept, str(spans)) for (d, _), b, (kept, spans) in zip(items, texts, brute(texts, length)))
+    want = Counter(
+        (d, len(b), kept, str(spans), str(said)) for (d, _), b, (kept, spans), said in zip(items, texts, brute(texts, length), passages(texts, passage))
+    )
     assert got == want
 
 
@@ -33,7 +52,7 @@ def check(df, items, length, **kw):
 @given(st.lists(st.binary(max_size=40).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=8), st.integers(1, 9))
 def test_transform_against_counting(parts, length):
     seen = Counter(b[p : p + length] for b in parts for p in range(len(b) - length + 1))
-    for b, flags in zip(parts, sd.repeated(parts, length)):
+    for b, flags in zip(parts, sd.repeated([np.frombuffer(b, np.uint8) for b in parts], length)):
         assert flags.tolist() == [seen[b[p : p + length]] > 1 for p in range(len(b) - length + 1)]
 
 
@@ -65,6 +84,9 @@ def items():
     text = lambda n: "".join(rng.choice("abcdefghij é") for _ in range(n))
     shared = [text(n) for n in (60, 120, 300, 47, 48, 49)]
     rows = [(i, text(rng.randrange(0, 80)) + rng.choice(shared) + text(rng.randrange(0, 80)) + rng.choice(shared)) for i in range(60)]
+    say = lambda n: " ".join(rng.choice("abcdefghij") + rng.choice("xyz") for _ in range(n))
+    said = [say(n) for n in (11, 12, 13, 30)]
+    rows += [(200 + i, say(rng.randrange(0, 9)) + "\n" + rng.choice(said) + " \t" + say(rng.randrange(0, 9)) + " " + rng.choice(said)) for i in range(30)]
     rows += [(100, "ab" * 200), (101, text(30)), (102, ""), (103, None), (None, shared[1]), (104, rows[3][1]), (104, rows[3][1]), (105, "z" * 48), (106, "z" * 47)]
     return rows
 
@@ -87,6 +109,31 @@ def test_long_texts_in_blocks(spark, monkeypatch):
     check(spark.createDataFrame([(d, t, "r", 1) for d, t in rows], SCHEMA), rows, 400)
 
 
+def test_copies_of_a_row_are_handled_once(spark, monkeypatch):
+    """5,000 equal rows beside a near copy: as many parts and runs as with two of them."""
+    rng = random.Random(8)
+    text = " ".join(rng.choice("abcdef") * rng.randrange(1, 9) for _ in range(300))
+    other = text[:700] + "#" + text[701:]
+    counts = []
+    real = sd.class_parts
+    monkeypatch.setattr(sd, "class_parts", lambda *a: counts.append((made := sd.cut(real(*a), "parts")).count()) or made)
+    for n in (2, 5000):
+        docs = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.lit(text).alias("text")).union(spark.range(1).select(F.lit(2).cast("long"), F.lit(other)))
+        rows = sd.remove_repeats(docs.repartition(4)).select("doc_id", "n_bytes", F.octet_length("kept").alias("left")).collect()
+        assert Counter((r["doc_id"], r["left"]) for r in rows) == {(1, 0): n, (2, len(brute([text.encode(), text.encode(), other.encode()], 400)[2][0])): 1}
+    assert counts[1] <= 4 * counts[0]
+
+
+def test_words_in_blocks(monkeypatch):
+    rng = random.Random(9)
+    text = " \t".join("".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))) for _ in range(200)).encode()
+    whole = sd.words(np.frombuffer(text, np.uint8))
+    assert len(whole) == 200 and len(set(whole.tolist())) == len(set(text.split()))
+    monkeypatch.setattr(sd, "BLOCK", 64)
+    assert (sd.words(np.frombuffer(text, np.uint8)) == whole).all()
+    assert len(sd.words(np.frombuffer(b"x" * 500 + b" y", np.uint8))) == 2
+
+
 def test_odd_rows(odd_docs, odd_items):
     check(odd_docs, [(i, t) for i, t, *_ in odd_items], 400)
 
