@@ -14,8 +14,9 @@ GAP = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: A side of a join is broadcast only when it was counted and has no more rows than this.
+#: A side of a join is broadcast only when it was counted and has no more rows, and bytes of text and binary, than these.
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,12 +53,28 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most `most` rows; else as it is, so that Spark shuffles the join.
+def sized(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if it has at most `most` rows, with at most `most_bytes` of text and binary; else as it is, so that Spark
+    shuffles the join.
 
     df should be cheap to count (a table from cut() or a small aggregate of one).
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    wide = [F.octet_length(f"`{f.name}`") for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    size = F.coalesce(F.sum(sum((F.coalesce(x, F.lit(0)).cast("long") for x in wide), F.lit(0).cast("long"))), F.lit(0))
+    rows, held = df.limit(most + 1).agg(F.count(F.lit(1)), size).first()
+    return F.broadcast(df) if rows <= most and held <= most_bytes else df
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """For each name one like it that no column of df has, in any case."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        out.append(name)
+        held.add(name.lower())
+    return out
 
 
 def ascii_lower(text: Column) -> Column:
