@@ -9,8 +9,8 @@ way back to the rows joins on the digest alone unless some digest has two texts;
 
 Defined cases: null text counts as empty, and all empty texts form one group. Of equal texts the row with the largest
 doc_id stays; where the largest id occurs twice (repeated rows), every row of that id is marked kept, and deduplicate()
-keeps one of them. A null id is smaller than any other. An empty table gives an empty result. Further columns are carried by
-deduplicate() and ignored by classes().
+keeps one of them. A null id is smaller than any other. Texts are compared whole, however long. An empty table gives an empty result. Further
+columns, whatever their names, are carried by deduplicate() and ignored by classes().
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, documents
+from .common import ascii_lower, cut, documents, fresh
 
 SALTS = 16
 
@@ -65,22 +65,20 @@ def classes(docs: DataFrame, digest: Callable[[Column], Column] = sha256, salts:
 def deduplicate(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The rows of docs that stay, with all their columns: of equal texts, the one with the largest doc_id.
 
-    The whole row moves in two aggregations by text, as in combine(), which also keeps one of several rows with that id.
+    The whole text moves in two aggregations, as in combine(), which also keep one of several rows with that id.
     """
-    norm = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
+    norm = ascii_lower(F.coalesce(docs["text"], F.lit("")))
+    digest, own, h = keys = fresh(docs, "digest", "own", "h")
     # Of rows with the largest id, the one with the largest checksum of its columns.
-    held = docs.withColumns(
-        {"__digest": sha256(norm), "__id": F.col("doc_id"), "__h": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])}
-    )
+    held = docs.withColumns({digest: sha256(norm), own: docs["doc_id"], h: F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])})
     best = F.max("rank").alias("rank")
-    rows = held.select("__digest", norm.alias("norm"), F.struct("__id", "__h").alias("rank"))
+    rows = held.select(F.col(digest).alias("digest"), norm.alias("norm"), F.struct(F.col(own).alias("own"), F.col(h).alias("h")).alias("rank"))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("rank"), F.lit(salts)).cast("int"))
-    kept = salted.groupBy("__digest", "salt", "norm").agg(best).groupBy("__digest", "norm").agg(best)
-    kept = cut(kept.select("__digest", "rank.__id", "rank.__h"), "exact")
-    keys = ["__digest", "__id", "__h"]
-    same = [held["__digest"] == kept["__digest"], held["__id"].eqNullSafe(kept["__id"]), held["__h"] == kept["__h"]]
+    kept = salted.groupBy("digest", "salt", "norm").agg(best).groupBy("digest", "norm").agg(best)
+    kept = cut(kept.select("digest", "rank.own", "rank.h"), "exact")
+    same = (held[digest] == kept["digest"]) & held[own].eqNullSafe(kept["own"]) & (held[h] == kept["h"])
     # Rows that are equal in every column remain together; the join's partitioning serves to keep one of them.
-    return held.join(kept, same[0] & same[1] & same[2], "left_semi").dropDuplicates(keys).drop(*keys)
+    return held.join(kept, same, "left_semi").dropDuplicates(keys).drop(*keys)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,3 +44,10 @@ def test_kept_rows(odd_docs, odd_items):
 
 def test_no_rows(no_docs):
     assert classes(no_docs).collect() == [] and deduplicate(no_docs).collect() == []
+
+
+def test_columns_named_like_the_operators_own(spark):
+    rows = [(1, "A text", "p", "q", 5, "r"), (2, "a TEXT", "s", "t", 6, "u"), (3, "b", "v", "w", 7, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string, own string, h int, __digest string")
+    kept = deduplicate(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(rows[1:])
