@@ -5,20 +5,20 @@ bit s set. AND over a gram's HASHES slots gives all languages that contain it in
 text's count for a language is the popcount of that language's bit over the text's n-grams; of n grams, a filter with
 false positive rate f is expected to report n * f wrongly, so the corrected count is (hits - n * f) / (1 - f).
 
-Training reads a bounded sample: of each language, the SAMPLE documents with the smallest md5 of their id among those whose
-crc32(id) mod 3 is not 1. A language's filter holds the grams that are at least SHARE times as frequent in it as in the
-language where they are most frequent, at most GRAMS of them, most frequent first. The table has a fixed size, so what is sent to executors
-doesn't grow with the data (8 bytes a slot for each 64 languages; MOST_LANGUAGES are accepted).
+Training reads a bounded sample of each language: of the documents whose crc32(id) mod 3 is not 1, those with the smallest md5 of
+their id, SAMPLE at most, and no further one once SAMPLE_CHARS code points are passed. A language's filter holds every gram of its sample, so
+it answers which languages contain a gram. The table has a fixed size, so what is sent to executors doesn't grow with the data: 2 MB for up to 8
+languages, else 16 MB for each 64; MOST_LANGUAGES are accepted (128 MB), more are an error. It is put together from pieces of PIECE slots, each made in a task of its own.
 
 Defined cases: a null text or one without letters is `und` with score 0. Where no gram counts for any language, the
-first language by name is predicted with score 0. Without training rows everything is `und`. Repeated rows are scored alike; null ids
-are held in. An empty table gives an empty result. Further columns are carried by identify() where asked for. Very long texts are
-counted in blocks.
+first language by name is predicted with score 0; of languages with equal counts the first by name. Without training rows everything is `und`.
+Repeated rows are scored alike; rows without an id are held in, but not sampled. An empty table gives an empty result. Further columns, whatever
+their names, are left alone. Very long texts are counted in blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,9 +30,9 @@ from .common import crc_mod, documents, uniform
 
 ORDERS = (2, 3, 4)
 SAMPLE = 1000
-GRAMS = 30_000
-SHARE = 0.5
-SLOTS_LOG2 = 19
+SAMPLE_CHARS = 8_000_000
+SLOTS_LOG2 = 21
+PIECE = 4096
 HASHES = 3
 MOST_LANGUAGES = 512
 BLOCK = 1 << 19
@@ -63,7 +63,7 @@ def gram_hashes(c: np.ndarray, n: int) -> np.ndarray:
 
 def slots(h: np.ndarray, i: int, log2: int) -> np.ndarray:
     """The i-th slot of each gram: another cut of its hash."""
-    return ((h >> np.uint64(i * 20)) & np.uint64((1 << log2) - 1)).astype(np.int64)
+    return ((h >> np.uint64(i * 21)) & np.uint64((1 << log2) - 1)).astype(np.int64)
 
 
 @dataclass
@@ -74,17 +74,9 @@ class GramFilters:
     log2: int
 
     @classmethod
-    def build(cls, grams: dict[str, np.ndarray], log2: int = SLOTS_LOG2) -> GramFilters:
-        languages = sorted(grams)
-        if len(languages) > MOST_LANGUAGES:
-            raise ValueError(f"{len(languages)} languages; at most {MOST_LANGUAGES} are supported")
-        kind = np.uint8 if len(languages) <= 8 else np.uint64
-        bits = kind().itemsize * 8
-        table = np.zeros((max(1, -(-len(languages) // bits)), 1 << log2), kind)
-        for k, language in enumerate(languages):
-            for i in range(HASHES):
-                table[k // bits, slots(grams[language], i, log2)] |= kind(1 << (k % bits))
-        fill = [((table[k // bits] >> kind(k % bits)) & kind(1)).mean() for k in range(len(languages))]
+    def of(cls, languages: list[str], table: np.ndarray, log2: int) -> GramFilters:
+        bits = table.itemsize * 8
+        fill = [((table[k // bits] >> table.dtype.type(k % bits)) & table.dtype.type(1)).mean() for k in range(len(languages))]
         return cls(languages, table, np.array(fill) ** HASHES, log2)
 
     def hits(self, c: np.ndarray, starts: np.ndarray, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +108,7 @@ class GramFilters:
         return n, found
 
     def corrected(self, n: np.ndarray, found: np.ndarray) -> np.ndarray:
-        return np.maximum(0, (found - n[:, None] * self.false_rate) / (1 - self.false_rate))
+        return np.maximum(0, (found - n[:, None] * self.false_rate) / np.maximum(1 - self.false_rate, 1e-9))
 
 
 def counted(model: GramFilters, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,47 +147,77 @@ def counted(model: GramFilters, texts: list[str]) -> tuple[np.ndarray, np.ndarra
     return n, found
 
 
-def learn(docs: DataFrame, train: Column) -> GramFilters:
-    """Filters from the rows of docs (doc_id, text, lang) where train holds."""
-    rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
+def layout(languages: int) -> tuple[type, int]:
+    """The type of a mask and the number of masks of a slot."""
+    kind = np.uint8 if languages <= 8 else np.uint64
+    return kind, max(1, -(-languages // (kind().itemsize * 8)))
+
+
+def grams_of(text: str) -> np.ndarray:
+    """The distinct n-grams of a text, as hashes; runs of blanks are none."""
+    c, found = codes(text), [np.zeros(0, np.uint64)]
+    for at in range(0, len(c), BLOCK):
+        part = c[at : at + BLOCK + max(ORDERS) - 1]
+        blank = part == 32
+        for n in ORDERS:
+            if len(part) >= n:
+                found.append(np.unique(gram_hashes(part, n)[~(blank[: len(part) - n + 1] & blank[1 : len(part) - n + 2])]))
+    return np.unique(np.concatenate(found))
+
+
+def sampled(docs: DataFrame, train: Column) -> tuple[list[str], DataFrame]:
+    """The languages of the rows of docs (doc_id, text, lang) where train holds, and their samples (lang, text)."""
+    rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.length("text").alias("chars"))
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     # about twice the sample by hash, then exactly the smallest: what a task has to order doesn't grow with the corpus
     share = F.lit(1.0)
     for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 2 * SAMPLE / r["n"]))).otherwise(share)
-    order = Window.partitionBy("lang").orderBy(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "doc_id")
-    near = rows.where(uniform(F.col("doc_id")) < share).distinct()
-    chosen = near.withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= SAMPLE).select("doc_id", "lang")
+        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, (2 * SAMPLE + 100) / r["n"]))).otherwise(share)
+    order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
+    near = rows.where(F.col("doc_id").isNotNull() & (uniform(F.col("doc_id")) < share)).groupBy("lang", "doc_id").agg(F.max("chars").alias("chars"))
+    before = F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("chars")
+    chosen = near.select("doc_id", "lang", F.row_number().over(order).alias("at"), before.alias("before"))
+    chosen = chosen.where((F.col("at") <= SAMPLE) & (F.col("before") < SAMPLE_CHARS)).select("doc_id", "lang")
     # SAMPLE ids a language at most: that bounds the broadcast
-    sample = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+    sample = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    return sorted(r["lang"] for r in counts), sample
+
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def learn(docs: DataFrame, train: Column, log2: int = SLOTS_LOG2) -> GramFilters:
+    """Filters from the rows of docs (doc_id, text, lang) where train holds."""
+    languages, sample = sampled(docs, train)
+    kind, masks = layout(len(languages))
+    bits, number = kind().itemsize * 8, {x: k for k, x in enumerate(languages)}
+    piece = min(PIECE, 1 << log2)
+
+    def set_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out = []
             for lang, texts in batch.groupby("lang")["text"]:
-                for text in texts:
-                    c = codes(text)
-                    for n in ORDERS:
-                        if len(c) >= n:
-                            blank = c == 32
-                            h = gram_hashes(c, n)[~(blank[: len(c) - n + 1] & blank[1 : len(c) - n + 2])]
-                            h, k = np.unique(h, return_counts=True)
-                            yield pd.DataFrame({"lang": lang, "n": n, "gram": h.view(np.int64), "k": k.astype(np.int64)})
-
-    grams = sample.mapInPandas(count, "lang string, n int, gram long, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
-    share = F.col("k") / F.sum("k").over(Window.partitionBy("lang", "n"))
-    grams = grams.withColumn("share", share).withColumn("most", F.max("share").over(Window.partitionBy("n", "gram")))
-    top = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("share").desc(), "gram"))
-    kept = grams.where((F.col("share") >= SHARE * F.col("most")) & (F.col("k") > 1)).withColumn("at", top).where(F.col("at") <= GRAMS)
-    held = kept.select("lang", "gram").toPandas()  # GRAMS rows a language at most
-    found = {lang: g["gram"].to_numpy().view(np.uint64) for lang, g in held.groupby("lang")}
-    return GramFilters.build(found)
-
-
-def identify(docs: DataFrame, model: GramFilters, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns `keep` of docs with __lang, __score (share of the evidence) and __cover (share of grams known)."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+                grams = np.unique(np.concatenate([grams_of(t) for t in texts]))
+                at = np.unique(np.concatenate([slots(grams, i, log2) for i in range(HASHES)]))
+                edge = np.flatnonzero(np.diff(at // piece, prepend=-1))
+                out += [(number[lang], int(x[0] // piece), (x % piece).astype("<u2").tobytes()) for x in np.split(at, edge[1:]) if len(x)]
+            yield pd.DataFrame(out, columns=["language", "piece", "slots"])
+
+    def put_together(rows: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros((masks, piece), kind)
+        for k, x in zip(rows["language"], rows["slots"], strict=True):
+            held[int(k) // bits, np.frombuffer(x, "<u2")] |= kind(1 << (int(k) % bits))
+        return pd.DataFrame({"piece": rows["piece"].iloc[:1], "held": [held.tobytes()]})
+
+    pieces = sample.mapInPandas(set_bits, "language int, piece int, slots binary").groupBy("piece").applyInPandas(put_together, "piece int, held binary")
+    table = np.zeros((masks, 1 << log2), kind)
+    for r in pieces.collect():  # the table itself, whose size is fixed
+        table[:, r["piece"] * piece : (r["piece"] + 1) * piece] = np.frombuffer(r["held"], kind).reshape(masks, piece)
+    return GramFilters.of(languages, table, log2)
+
+
+def identifier(spark: SparkSession, model: GramFilters) -> Callable[[Column], Column]:
+    """A column function of a text: struct of lang, score (share of the evidence) and cover (share of grams known)."""
+    shipped = spark.sparkContext.broadcast(model)
 
     def verdicts(texts: pd.Series) -> pd.DataFrame:
         filters = shipped.value
@@ -213,9 +235,7 @@ def identify(docs: DataFrame, model: GramFilters, keep: list[str], text: str = "
                 lang[i] = filters.languages[b]
         return pd.DataFrame({"lang": lang, "score": score, "cover": cover})
 
-    verdict = F.pandas_udf(verdicts, "lang string, score double, cover double")
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], verdict(F.col(text)).alias("__verdict"))
-    return rows.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"__verdict.{c}").alias(f"__{c}") for c in ("lang", "score", "cover")])
+    return F.pandas_udf(verdicts, "lang string, score double, cover double")
 
 
 def held_in(doc_id: Column) -> Column:
@@ -225,6 +245,6 @@ def held_in(doc_id: Column) -> Column:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = learn(docs, held_in(F.col("doc_id")))
-    return identify(docs, model, ["doc_id"]).select(
-        "doc_id", (~held_in(F.col("doc_id"))).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__cover").alias("cover")
+    return docs.select("doc_id", identifier(spark, model)(F.col("text")).alias("v")).select(
+        "doc_id", (~held_in(F.col("doc_id"))).alias("held_out"), F.col("v.lang").alias("lang_pred"), "v.score", "v.cover"
     )

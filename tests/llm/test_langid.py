@@ -1,3 +1,5 @@
+import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -16,10 +18,22 @@ def model(spark):
     return langid.learn(docs, langid.held_in(F.col("doc_id")))
 
 
+def built(grams, log2):
+    """Filters from grams by language, slot by slot."""
+    languages = sorted(grams)
+    kind, masks = langid.layout(len(languages))
+    bits = kind().itemsize * 8
+    table = np.zeros((masks, 1 << log2), kind)
+    for k, name in enumerate(languages):
+        for i in range(langid.HASHES):
+            table[k // bits, langid.slots(grams[name], i, log2)] |= kind(1 << (k % bits))
+    return GramFilters.of(languages, table, log2)
+
+
 def test_filters_hold_their_grams_and_little_else():
     rng = np.random.default_rng(1)
     grams = {name: rng.integers(0, 2**63, 5000, dtype=np.uint64) for name in "abc"}
-    f = GramFilters.build(grams, 17)
+    f = built(grams, 17)
     for k, name in enumerate("abc"):
         for other in grams:
             mask = f.table[0][langid.slots(grams[other], 0, 17)].copy()
@@ -32,10 +46,43 @@ def test_filters_hold_their_grams_and_little_else():
 def test_more_than_eight_languages():
     rng = np.random.default_rng(2)
     grams = {f"l{i:02d}": rng.integers(0, 2**63, 50, dtype=np.uint64) for i in range(70)}
-    f = GramFilters.build(grams, 12)
+    f = built(grams, 12)
     assert f.table.shape[0] == 2 and f.languages[69] == "l69"
+
+
+@pytest.mark.parametrize("languages", [3, 70])
+def test_learning_against_a_plain_count(spark, languages, monkeypatch):
+    """The table and the sample: all grams of the chosen documents of each language, and no others."""
+    monkeypatch.setattr(langid, "SAMPLE", 5)
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 150)
+    rng = random.Random(7)
+    rows = [(i if i else None, "".join(rng.choice("abcdéß ,") for _ in range(rng.randrange(0, 60))), f"l{rng.randrange(languages):02d}") for i in range(20 * languages)]
+    rows += [rows[5]] * 30 + [(9000, None, "l00"), (9001, "abc", None)]
+    train = lambda d: zlib.crc32(str(d).encode()) % 3 != 1
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), langid.held_in(F.col("doc_id")), 12)
+    grams = {}
+    for name in sorted({x for d, t, x in rows if x and t is not None and (d is None or train(d))}):
+        held, chars = np.zeros(0, np.uint64), 0
+        ids = sorted({d for d, t, x in rows if x == name and t is not None and d is not None and train(d)}, key=lambda d: hashlib.md5(str(d).encode()).hexdigest())
+        for d in ids[:5]:
+            text = next(t for e, t, _ in rows if e == d)
+            if chars >= 150:
+                break
+            chars += len(text)
+            c = codes(text)
+            for n in langid.ORDERS:
+                found = [gram_hashes(c[i : i + n], n)[0] for i in range(len(c) - n + 1) if not (c[i] == 32 and c[i + 1] == 32)]
+                held = np.r_[held, np.array(found, np.uint64)]
+        grams[name] = held
+    want = built(grams, 12)
+    assert model.languages == want.languages and (model.table == want.table).all()
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    rows = [(i, "text", f"l{i}") for i in range(20)]
     with pytest.raises(ValueError):
-        GramFilters.build({str(i): np.zeros(1, np.uint64) for i in range(langid.MOST_LANGUAGES + 1)}, 4)
+        langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
 
 
 def test_counts_do_not_depend_on_how_texts_are_grouped(model, monkeypatch):
@@ -76,17 +123,16 @@ def test_held_out_accuracy(spark, model):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
-def test_odd_rows(odd_docs, odd_items, model):
-    rows = langid.identify(odd_docs, model, odd_docs.columns)
-    assert rows.columns[: len(odd_docs.columns)] == odd_docs.columns
-    rows = rows.collect()
+def test_odd_rows(spark, odd_docs, odd_items, model):
+    rows = odd_docs.select("*", langid.identifier(spark, model)(F.col("text")).alias("v")).collect()
     assert len(rows) == len(odd_items)
     for r in rows:
         letters = any(map(str.isalpha, r["text"] or ""))
-        assert (r["__lang"] == "und") == (not letters) and (letters or r["__score"] == 0)
+        assert (r["v"]["lang"] == "und") == (not letters) and (letters or r["v"]["score"] == 0)
 
 
-def test_nothing_to_learn_from(no_docs, odd_docs):
+def test_nothing_to_learn_from(spark, no_docs, odd_docs):
     empty = langid.learn(no_docs, langid.held_in(F.col("doc_id")))
-    assert {r["__lang"] for r in langid.identify(odd_docs, empty, ["doc_id"]).collect()} == {"und"}
-    assert langid.identify(no_docs, empty, ["doc_id"]).collect() == []
+    verdict = langid.identifier(spark, empty)(F.col("text")).alias("v")
+    assert {r["v"]["lang"] for r in odd_docs.select(verdict).collect()} == {"und"}
+    assert no_docs.select(verdict).collect() == []
