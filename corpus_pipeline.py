@@ -1,7 +1,12 @@
 """The corpus pipeline: five stages, each over everything that the stage before it kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written as Parquet and read again as the next
-one's docs. All but the last return the columns of docs.
+one's docs. All but the last return the columns of docs, whatever further columns there are and however they are named.
+
+Defined cases: a null or empty text has no letters, so the first stage drops it, like other texts without letters and those whose n-grams are
+hardly known to any language. Texts are used whole at any length. Of equal texts the largest doc_id stays (repeated rows: one of them), of near copies
+the smallest. Rows without an id stay or go like others; they sort below all ids. A row taken twice by the mix is packed twice. An empty table gives
+an empty result at every stage; without any row to learn languages from, everything is dropped.
 """
 
 from __future__ import annotations
@@ -10,14 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmatch.llm import exact_dedup, langid, mixing, near_dedup, packing
-from kinmatch.llm.common import cut, documents
+from kinmatch.llm.common import cut, documents, fresh
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no letters, or hardly any known n-grams."""
-    model = langid.learn(docs, langid.held_in(F.col("doc_id")))
-    rows = langid.identify(docs, model, docs.columns, text="text")
-    return rows.where((F.col("__lang") != "und") & (F.col("__cover") >= langid.LEAST_COVER)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    verdict = langid.identifier(spark, langid.learn(docs, langid.held_in(F.col("doc_id"))))
+    (v,) = fresh(docs, "verdict")
+    rows = docs.withColumn(v, verdict(docs["text"]))
+    return rows.where((F.col(f"{v}.lang") != "und") & (F.col(f"{v}.cover") >= langid.LEAST_COVER)).drop(v)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
