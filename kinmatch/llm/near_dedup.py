@@ -2,20 +2,24 @@
 
 1. Each text becomes its set of shingle hashes. Rows with the same set form a class and go on as one.
 2. A class has SIGNATURE minwise values. In each tree the root sends it, for every root position, to the node named by its value there.
-   A node with more than SMALL classes branches again on BRANCHES positions chosen by the node, down to DEPTH levels. A pair with similarity s
-   stays together at a branching with probability 1 - (1 - s)^BRANCHES; at s = 0.75 it is separated in all TREES * BRANCHES root paths with
-   probability 1.7e-7.
-3. In a node, signatures are compared exhaustively; classes whose best estimate is below FLOOR leave. The standard error at 0.75 is 0.038,
-   so a true link is lost here with a chance of about 7.5e-5.
-4. What is left meets in the same nodes with its full sets, where all intersections are counted and links are confirmed. A node returns a
-   spanning forest of its links, not its pairs. Trees run in rounds: classes found to be connected count as one in
-   the next round, and nodes with one such component are not looked at again. So copies don't multiply the work.
-5. Leaves with more than LARGEST classes are cut into chunks by a hash that changes every round; in the last round those of all
-   roots, also of earlier rounds, which still hold several components have all pairs of chunks compared, so nothing is left out.
+3. The first round takes FIRST of the TREES * BRANCHES root paths and doesn't branch: nodes are cut into chunks of at most CHUNK classes by a
+   hash that differs from node to node, and chunks are compared exhaustively. Copies of one text, however many, mostly become one component here:
+   a chunk connects its members, and those members connect the chunks of the other path.
+4. The second round takes the other paths. A node whose classes are all connected already is left out. One with more than SMALL classes outside
+   its largest component branches on BRANCHES positions chosen by the node, down to DEPTH levels, or DEEPEST while it has more than LARGEST classes.
+   Then every class outside the largest component is compared with all of the node; a large component is cut into chunks that each meet all
+   the others. What is still larger than LARGEST at DEEPEST levels has all pairs of its chunks compared, so nothing is left out.
+5. Comparing is in two steps. Signatures are compared exhaustively, and classes without a partner outside their component with an estimate of FLOOR
+   or more leave. The standard error at 0.75 is 0.038, so a true link is lost here with a chance of about 7.5e-5. What is left meets in the
+   same nodes with its full sets, where all intersections are counted and links are confirmed. A node returns a spanning forest of its links, not its pairs.
+
+A pair with similarity s stays together at a branching with probability 1 - (1 - s)^BRANCHES. At s = 0.75 it is separated in all root paths, each
+with all its levels, with a probability below 1e-6.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and are linked with nothing. With fewer than five words the whole
 sequence is the one shingle. Equal sets are linked whatever their order or ids; repeated rows fall into one class. Rows with a null id link
-and are linked like others; a null id never names a component that has another id. An empty table gives an empty result. Further columns are carried by deduplicate() and ignored otherwise.
+and are linked like others; a null id never names a component that has another id, and has a null component_id in one that has none. One id with
+several texts: each row is linked by its own text. An empty table gives an empty result. Further columns are carried by deduplicate() and ignored otherwise.
 Very long texts are hashed in blocks. Shingles are told apart by 64-bit and sets by 128-bit hashes.
 """
 
@@ -35,12 +39,12 @@ from .components import components
 SHINGLE = 5
 PERCENT = 75
 SIGNATURE = 128
-TREES, BRANCHES, DEPTH = 4, 3, 3
+TREES, BRANCHES, DEPTH, DEEPEST = 4, 3, 3, 6
+#: Root paths of the first round, and its largest chunk.
+FIRST, CHUNK = 2, 512
 SMALL = 64
 LARGEST = 2048
 FLOOR = 0.6
-#: Root paths of each round: few first, as most copies are found by any of them.
-ROUNDS = ((0, 1), (1, 3), (3, TREES * BRANCHES))
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xBF58476D1CE4E5B9)
@@ -146,7 +150,7 @@ def by_node(each: Callable[[pd.DataFrame], pd.DataFrame | None]) -> Callable[[It
 
 
 def children(rows: DataFrame, sigs: DataFrame) -> DataFrame:
-    """rows (root, node, key) of large nodes: for each BRANCHES rows with the child nodes."""
+    """rows (node, key, label) of large nodes: for each BRANCHES rows with the child nodes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -160,56 +164,91 @@ def children(rows: DataFrame, sigs: DataFrame) -> DataFrame:
                 at = ((first + np.uint64(b) * step) % np.uint64(SIGNATURE)).astype(np.int64)
                 value = sig[np.arange(len(sig)), at].astype(np.uint64)
                 child = _mix(_mix(node + np.uint64(b + 1)) ^ (value + (at.astype(np.uint64) << np.uint64(16))))
-                yield pd.DataFrame({"root": batch["root"], "node": child.view(np.int64), "key": batch["key"]})
+                yield pd.DataFrame({"node": child.view(np.int64), "key": batch["key"], "label": batch["label"]})
 
-    return rows.join(sigs, "key").select("root", "node", "key", "sig").mapInPandas(run, "root int, node long, key long")
+    return rows.join(sigs, "key").select("node", "key", "label", "sig").mapInPandas(run, "node long, key long, label long")
 
 
-def leaves(reps: DataFrame) -> DataFrame:
-    """reps (key, sig, roots): (root, node, key, size) of the leaves of all trees that hold more than one class."""
-    rows = reps.select(F.posexplode("roots").alias("root", "node"), "key")
+def chunk_of(chunks: Column) -> Column:
+    return F.pmod(F.xxhash64("key", "node"), chunks).cast("int")
+
+
+def unbranched(rows: DataFrame) -> DataFrame:
+    """rows (node, key, label) at the roots: the same with nodes cut into chunks of about CHUNK classes."""
+    size = cut(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    node = F.when(chunks > 1, F.xxhash64("node", chunk_of(chunks))).otherwise(F.col("node"))
+    return rows.join(sized(size), "node").select(node.alias("node"), "key", "label")
+
+
+def met(rows: DataFrame) -> DataFrame:
+    """rows (node, key, label, size, most, main) of leaves: (node, key, label) so that each class outside the largest component meets all others."""
+    few = F.col("size") - F.col("most") <= SMALL
+    # few others: each chunk of the main component gets all of them; many: every pair of chunks
+    chunks = F.ceil(F.when(few, F.col("most")).otherwise(F.col("size")) / LARGEST).cast("int")
+    every = F.sequence(F.lit(0), chunks - 1)
+    chunk = chunk_of(chunks)
+    pair = lambda o: F.xxhash64("node", F.least(chunk, o), F.greatest(chunk, o))
+    one = F.xxhash64("node", chunk)
+    nodes = (
+        F.when(chunks <= 1, F.array("node"))
+        .when(few & (F.col("label") == F.col("main")), F.array(one))
+        .when(few, F.transform(every, lambda o: F.xxhash64("node", o)))
+        .otherwise(F.transform(every, pair))
+    )
+    return rows.select(F.explode(nodes).alias("node"), "key", "label")
+
+
+def branched(rows: DataFrame, sigs: DataFrame) -> DataFrame:
+    """rows (node, key, label) at the roots: (node, key, label) of all leaves that hold more than one component."""
     found = []
-    for depth in range(DEPTH):
-        size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        rows = cut(rows.join(size, "node").select("root", "node", "key", "size"), "nodes")
-        if depth == DEPTH - 1:
-            found.append(rows)
+    for depth in range(1, DEEPEST + 1):
+        several = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+        held = cut(rows.join(sized(cut(several.select("node", "size"), "sizes")), "node"), "nodes")
+        found.append(held.where(F.col("size") <= SMALL).select("node", "key", "label"))
+        large = held.where(F.col("size") > SMALL)
+        if large.isEmpty():
             break
-        found.append(rows.where(F.col("size") <= SMALL))
-        rows = rows.where(F.col("size") > SMALL)
-        if rows.isEmpty():
-            break
-        rows = children(rows, reps.select("key", "sig"))
+        per = large.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
+        per = per.groupBy("node").agg(F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main"))
+        large = large.join(sized(cut(per, "mains")), "node")
+        due = F.col("size") - F.col("most") > SMALL  # to be branched
+        due &= F.lit(depth < DEEPEST) & (F.lit(depth < DEPTH) | (F.col("size") > LARGEST))
+        found.append(met(large.where(~due)))
+        if depth < DEEPEST:
+            rows = cut(children(large.where(due).select("node", "key", "label"), sigs), "children")
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
     return out
 
 
-def near(sig: np.ndarray) -> np.ndarray:
-    """Of a node's signatures, which have another whose estimated similarity is FLOOR or more."""
+def near(sig: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Of a node's signatures, which have another with a different label whose estimated similarity is FLOOR or more."""
     need = int(np.ceil(FLOOR * SIGNATURE))
     if len(sig) == 2:
-        return np.full(2, int((sig[0] == sig[1]).sum()) >= need)
+        return np.full(2, label[0] != label[1] and int((sig[0] == sig[1]).sum()) >= need)
     hit = np.zeros(len(sig), bool)
+    _, label, counts = np.unique(label, return_inverse=True, return_counts=True)
+    others = np.flatnonzero(label != counts.argmax())  # each pair with two labels has one of these
     step = max(1, 4_000_000 // (len(sig) * SIGNATURE))
-    for i in range(0, len(sig), step):
-        same = (sig[i : i + step, None, :] == sig[None, :, :]).sum(axis=2)
-        same[np.arange(len(same)), i + np.arange(len(same))] = 0
-        hit[i : i + step] = (same >= need).any(axis=1)
+    for i in range(0, len(others), step):
+        at = others[i : i + step]
+        close = ((sig[at, None, :] == sig[None, :, :]).sum(axis=2) >= need) & (label[at, None] != label[None, :])
+        hit[at] |= close.any(axis=1)
+        hit |= close.any(axis=0)
     return hit
 
 
-def active(found: DataFrame, reps: DataFrame) -> DataFrame:
-    """The leaves' rows that have a partner by estimate; leaves beyond LARGEST keep all."""
+def active(found: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The rows (node, key, label) that have a partner of another component by estimate."""
 
     def each(rows: pd.DataFrame) -> pd.DataFrame | None:
-        hit = near(np.frombuffer(b"".join(rows["sig"]), "<u2").reshape(-1, SIGNATURE))
-        return rows.loc[hit, ["root", "node", "key", "size"]] if hit.any() else None
+        hit = near(np.frombuffer(b"".join(rows["sig"]), "<u2").reshape(-1, SIGNATURE), rows["label"].to_numpy())
+        return rows.loc[hit, ["node", "key", "label"]] if hit.any() else None
 
-    small = found.where(F.col("size") <= LARGEST).join(reps.select("key", "sig"), "key").repartition("node").sortWithinPartitions("node")
-    kept = small.select("root", "node", "key", "size", "sig").mapInPandas(by_node(each), "root int, node long, key long, size long")
-    return kept.union(found.where(F.col("size") > LARGEST).select("root", "node", "key", "size"))
+    rows = found.join(sigs, "key").select("node", "key", "label", "sig").repartition("node").sortWithinPartitions("node")
+    return rows.mapInPandas(by_node(each), "node long, key long, label long")
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -228,11 +267,14 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
             for i in range(d):
                 for j in range(i + 1, d):
                     np.add.at(out, (held[:, i], held[:, j]), 1)
-        else:
-            for a in at:
-                who = owner[a : a + d]
-                out[np.ix_(who, who)] += 1
-    return np.maximum(out, out.T)
+    out = np.maximum(out, out.T)
+    wide = np.flatnonzero(df > 16)  # members of many sets: a product of zeros and ones
+    for i in range(0, len(wide), 4096):
+        part = wide[i : i + 4096]
+        held = np.zeros((m, len(part)), np.float32)
+        held[owner[np.arange(df[part].sum()) + np.repeat(start[part] - np.cumsum(df[part]) + df[part], df[part])], np.repeat(np.arange(len(part)), df[part])] = 1
+        out += (held @ held.T).astype(np.int32)
+    return out
 
 
 def linked(labels: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -255,7 +297,7 @@ def linked(labels: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def full_sets(docs: DataFrame, reps: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, members): the full sets of the classes in keys, made again from their texts."""
+    """(key, members): the full sets of the classes in keys, made again from one text of each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -264,26 +306,13 @@ def full_sets(docs: DataFrame, reps: DataFrame, keys: DataFrame) -> DataFrame:
             yield pd.DataFrame(held, columns=["key", "members"])
 
     wanted = cut(reps.join(keys, "key", "left_semi").select("row"), "wanted")
-    rows = docs.select("doc_id", "text", row_hash()).join(sized(wanted), "row", "left_semi")
-    # copies without an id share their hash: one of them goes on
-    unnamed = rows.where("doc_id is null").groupBy("row").agg(F.first("text").alias("text"))
-    return rows.where("doc_id is not null").select("text").union(unnamed.select("text")).mapInPandas(run, "key long, members binary")
-
-
-def confirm(rows: DataFrame, labels: DataFrame | None, sets: DataFrame, turn: int, last: bool) -> DataFrame:
-    """rows (node, key, size): links (u, v) between labels, confirmed on full sets."""
-    rows = rows.withColumn("label", F.col("key")) if labels is None else rows.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    mixed = rows.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-    rows = rows.join(mixed.select("node"), "node", "left_semi")
-    chunks = F.ceil(F.col("size") / LARGEST).cast("int")
-    chunk = F.pmod(F.xxhash64("key", F.lit(turn)), chunks).cast("int")
-    if last:  # every pair of chunks
-        other = F.explode(F.sequence(F.lit(0), chunks - 1))
-        rows = rows.withColumns({"chunk": chunk}).withColumn("other", other)
-        pair = F.xxhash64("node", F.least("chunk", "other"), F.greatest("chunk", "other"))
-        rows = rows.withColumn("node", F.when(chunks > 1, pair).otherwise(F.col("node")))
-    else:
-        rows = rows.withColumn("node", F.when(chunks > 1, F.xxhash64("node", chunk)).otherwise(F.col("node")))
+    rows = docs.select("text", row_hash()).join(sized(wanted), "row", "left_semi")
+    one = rows.groupBy("row").agg(F.first("text").alias("text"))  # repeated rows: one of them goes on
+    return one.select("text").mapInPandas(run, "key long, members binary")
+
+
+def confirm(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """rows (node, key, label): links (u, v) between labels, confirmed on full sets."""
 
     def each(rows: pd.DataFrame) -> pd.DataFrame | None:
         label = rows["label"].to_numpy()
@@ -292,7 +321,7 @@ def confirm(rows: DataFrame, labels: DataFrame | None, sets: DataFrame, turn: in
         found = linked(label, [np.frombuffer(x, "<u8") for x in rows["members"]])
         return pd.DataFrame(found, columns=["u", "v"]) if found else None
 
-    rows = rows.select("node", "key", "label").join(sets, "key").select("node", "label", "members")
+    rows = rows.join(sets, "key").select("node", "label", "members")
     return rows.repartition("node").sortWithinPartitions("node").mapInPandas(by_node(each), "u long, v long")
 
 
@@ -301,43 +330,53 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = cut(sketch(docs), "sketch")
     reps = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("row"), F.first("key").alias("key"), F.first("sig").alias("sig"), F.first("roots").alias("roots"))
     reps = cut(reps, "classes")
-    held = cut(active(leaves(reps), reps), "active")
+    sigs = reps.select("key", "sig")
+    roots = lambda named, low, high: named.select(F.explode(F.slice("roots", low + 1, high - low)).alias("node"), "key", "label")
+    held = cut(active(unbranched(roots(reps.withColumn("label", F.col("key")), 0, FIRST)), sigs), "active")
     sets = cut(full_sets(docs, reps, held.select("key").distinct()), "sets")
-    labels = None
-    for turn, (a, b) in enumerate(ROUNDS):
-        last = turn == len(ROUNDS) - 1
-        due = (F.col("root") >= a) & (F.col("root") < b)
-        if last:  # earlier rounds compared oversized leaves inside chunks only
-            due |= F.col("size") > LARGEST
-        part = held.where(due).select("node", "key", "size")
-        found = components(confirm(part, labels, sets, turn, last)).withColumnRenamed("component", "to")
-        if labels is None:
-            labels = found.select(F.col("id").alias("key"), F.col("to").alias("label"))
-        else:
-            moved = labels.join(found, labels["label"] == found["id"], "left").select("key", F.coalesce("to", "label").alias("label"))
-            fresh = found.join(labels, found["id"] == labels["key"], "left_anti").select(F.col("id").alias("key"), F.col("to").alias("label"))
-            labels = moved.union(fresh)
-        labels = cut(labels, "labels")
+    labels = components(confirm(held, sets)).select(F.col("id").alias("key"), F.col("component").alias("label"))
+    labels = cut(labels, "labels")
+    named = reps.select("key", "roots").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    held = cut(active(branched(roots(named, FIRST, TREES * BRANCHES), sigs), sigs), "active")
+    if not held.isEmpty():
+        more = held.select("key").distinct().join(sets.select("key"), "key", "left_anti")
+        sets = sets.union(cut(full_sets(docs, reps, more), "sets"))
+        found = cut(components(confirm(held, sets)).select("id", F.col("component").alias("to")), "found")
+        moved = labels.join(found, labels["label"] == found["id"], "left").select("key", F.coalesce("to", "label").alias("label"))
+        fresh = found.join(labels, found["id"] == labels["key"], "left_anti").select(F.col("id").alias("key"), F.col("to").alias("label"))
+        labels = cut(moved.union(fresh), "labels")
     return rows, labels
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text): doc_id, n_shingles, component_id for every row."""
+def linked_rows(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text): doc_id, row, n_shingles, component_id, stays for every row. Of a component without ids, the rows with the least hash stay."""
     rows, labels = classes_of(docs)
-    named = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
+    named = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("row").alias("first"))
     named = named.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "label").select("key", "component_id")
-    keyed = F.when(F.col("n_shingles") > 0, F.col("key")).alias("key")
-    return rows.select("doc_id", "n_shingles", keyed).join(named, "key", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    least = named.groupBy("label").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
+    named = named.drop("first").join(least, "label").select("key", "component_id", "first")
+    alone = F.col("n_shingles") == 0
+    keyed = F.when(~alone, F.col("key")).alias("key")
+    own = F.when(F.col("component_id").isNull(), F.col("row") == F.col("first")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rows.select("doc_id", "row", "n_shingles", keyed).join(named, "key", "left").select(
+        "doc_id", "row", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | own).alias("stays")
     )
 
 
+def link_documents(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text): doc_id, n_shingles, component_id for every row."""
+    return linked_rows(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each component the document with the smallest id."""
-    gone = cut(link_documents(docs).where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(sized(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
+    """The rows of docs that stay, with all their columns: of each component the document with the smallest id.
+
+    Rows go by id and text, so that an id with several texts loses only those that are copies. Repeated rows of a document that stays all stay.
+    """
+    gone = cut(linked_rows(docs).where("not stays").select("doc_id", "row").distinct(), "gone")
+    row = F.xxhash64(docs["doc_id"], docs["text"])
+    held = sized(gone)
+    return docs.join(held, (row == held["row"]) & docs["doc_id"].eqNullSafe(held["doc_id"]), "left_anti")
 
 
 def op2_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,14 +74,15 @@ def test_against_all_pairs(spark, crowd):
 
 
 def test_small_leaves_and_chunks(spark, crowd, monkeypatch):
-    for name, value in (("SMALL", 8), ("LARGEST", 20)):
+    for name, value in (("SMALL", 8), ("LARGEST", 20), ("CHUNK", 10)):
         monkeypatch.setattr(nd, name, value)
     check(spark, crowd)
 
 
-def test_oversized_leaves_of_early_rounds_are_compared_whole(spark, monkeypatch):
-    """Pairs that share half of their words with all others; the last round has no roots of its own."""
-    for name, value in (("SMALL", 4), ("LARGEST", 4), ("DEPTH", 1), ("ROUNDS", ((0, 1), (1, 1)))):
+@pytest.mark.parametrize(("first", "deepest"), [(0, 1), (1, 2)])
+def test_oversized_leaves_are_compared_whole(spark, monkeypatch, first, deepest):
+    """Pairs that share half of their words with all others."""
+    for name, value in (("FIRST", first), ("CHUNK", 4), ("SMALL", 4), ("LARGEST", 4), ("DEPTH", 1), ("DEEPEST", deepest)):
         monkeypatch.setattr(nd, name, value)
     items = []
     for i in range(20):
@@ -112,11 +113,49 @@ def test_kept_documents(odd_docs, odd_items):
     assert kept.columns == odd_docs.columns
     want = Counter()
     for (d, _, c), n in brute([(i, t) for i, t, *_ in odd_items]).items():
-        if d is None or d == c:
+        if d == c:
             want[d] += n
     assert Counter(r["doc_id"] for r in kept.collect()) == want
 
 
+def test_rows_go_by_their_text(spark):
+    """One id with a copy and another text; components with and without an id; columns named like the operator's own."""
+    words = [f"w{k}" for k in range(60)]
+    text, near, unlike = " ".join(words), " ".join([*words[:-1], "end"]), " ".join(f"u{k}" for k in range(60))
+    lone = " ".join(f"n{k}" for k in range(60))
+    rows = [(1, text, "a"), (2, near, "b"), (2, unlike, "c"), (None, text, "d"), (None, lone, "e"), (None, lone + " end", "f"), (4, None, "g"), (None, "", "h"), (4, " ", "i")]
+    kept = nd.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, row string"))
+    held = {r["row"] for r in kept.collect()}
+    assert held - {"e", "f"} == {"a", "c", "g", "h", "i"} and len(held & {"e", "f"}) == 1
+
+
+def test_copies_of_a_row_count_once(spark, monkeypatch):
+    """5,000 copies of one row and of its near copy: as many sets and node rows as with two."""
+    words = [f"w{k}" for k in range(60)]
+    seen = []
+    real_sets, real_near = nd.full_sets, nd.active
+    monkeypatch.setattr(nd, "full_sets", lambda *a: seen.append((made := nd.cut(real_sets(*a), "sets")).count()) or made)
+    monkeypatch.setattr(nd, "active", lambda *a: seen.append((made := nd.cut(real_near(*a), "active")).count()) or made)
+    found = []
+    for n in (2, 5000):
+        seen.clear()
+        docs = spark.range(n).selectExpr("7L AS doc_id", f"'{' '.join(words)}' AS text").union(spark.range(n).selectExpr("3L", f"'{' '.join(words[1:])}'"))
+        got = Counter((r["doc_id"], r["component_id"]) for r in nd.link_documents(docs.repartition(4)).collect())
+        assert got == {(7, 3): n, (3, 3): n}
+        found.append(list(seen))
+    assert found[0] == found[1]
+
+
+def test_a_crowd_of_near_copies_is_not_branched(spark, monkeypatch):
+    """Classes of one component leave before the second round's nodes branch: their children don't multiply."""
+    rng = random.Random(6)
+    base = [f"b{rng.randrange(5000)}" for _ in range(150)]
+    items = [(i, edited(rng, base, 2)) for i in range(900)]
+    monkeypatch.setattr(nd, "children", lambda rows, sigs: pytest.fail("branched") if rows.count() else rows)
+    df = spark.createDataFrame([(d, t, "x", 1, "n") for d, t in items], SCHEMA)
+    assert {r["component_id"] for r in nd.link_documents(df).collect()} == {0}
+
+
 def test_no_rows(no_docs):
     assert nd.link_documents(no_docs).collect() == [] and nd.deduplicate(no_docs).collect() == []
 

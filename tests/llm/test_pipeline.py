@@ -1,3 +1,4 @@
+import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
@@ -52,8 +53,32 @@ def test_stages_against_brute_force(spark):
     assert Counter((r["doc_id"], r["start"], r["length"]) for r in packed) == pieces
 
 
-def test_odd_rows(spark, odd_docs, no_docs):
-    for docs in (odd_docs, no_docs):
-        held = through(spark, docs, 4)
-        assert all(x.columns == docs.columns for x in held)
-        assert corpus_pipeline.STAGES[4][1](spark, held[-1], DATA).columns[:3] == ["doc_id", "start", "length"]
+def test_odd_rows(spark, odd_docs, odd_items, no_docs):
+    """What stays at each stage of nulls, empty and long texts, copies, ties and repeated rows; names of columns are kept."""
+    held = through(spark, odd_docs, 4)
+    assert all(x.columns == odd_docs.columns for x in held)
+    letters = [(i, t) for i, t, *_ in odd_items if any(map(str.isalpha, t or ""))]
+    known = [(r["doc_id"], r["text"]) for r in held[0].collect()]
+    assert set(known) <= set(letters) and {5, 4, 11, 16} <= {d for d, _ in known}
+    want = {max((x for x in ids if x is not None), default=None) for ids in groups(known).values()}
+    unique = [(r["doc_id"], r["text"]) for r in held[1].collect()]
+    assert {d for d, _ in unique} == want and len(unique) == len(groups(known))
+    apart = Counter(r["doc_id"] for r in held[2].collect())
+    stays = Counter(d for d, _, c in brute(unique).elements() if d == c)
+    assert {d: n for d, n in apart.items() if d is not None} == {d: n for d, n in stays.items() if d is not None}
+    assert {r["doc_id"] for r in held[3].collect()} <= set(apart)
+    packed = corpus_pipeline.STAGES[4][1](spark, held[3], DATA)
+    assert packed.columns[:3] == ["doc_id", "start", "length"] and {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in held[3].collect()}
+    nothing = through(spark, no_docs, 4)
+    assert all(x.columns == no_docs.columns and x.isEmpty() for x in nothing)
+    assert corpus_pipeline.STAGES[4][1](spark, nothing[-1], DATA).isEmpty()
+
+
+def test_texts_of_no_language_go(spark):
+    """Letters, but none of the n-grams that the corpus' languages have."""
+    plain = "the river walks under the old bridge and carries quiet songs"
+    rows = [(i, plain, "en", "s", 1, "x") for i in range(30)] + [(100, "\u6f22\u5b57\u304b\u306a " * 9, "en", "s", 1, "y"), (101, "ZZQ XJQ QQX JJZ " * 5, None, "s", 1, "z")]
+    rows = [r for r in rows if r[0] != 100] + [(next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 3 == 1), *rows[30][1:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, verdict string")
+    kept = corpus_pipeline.keep_identified(spark, docs, DATA)
+    assert kept.columns == docs.columns and {r["verdict"] for r in kept.collect()} == {"x"}
