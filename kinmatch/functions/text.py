@@ -39,9 +39,8 @@ ADDRESS_WORDS = {
     "n": "north", "s": "south", "e": "east", "w": "west", "ne": "northeast", "nw": "northwest",
     "se": "southeast", "sw": "southwest", "rte": "route", "ext": "extension", "opp": "opposite", "nr": "near",
 }
-# Words that begin a landmark clause, which ends at the next comma or semicolon.
-LANDMARK_WORDS = ["near", "nr", "opp", "opposite", "behind", "beside", "besides", "next to", "adjacent to", "close to"]
-LANDMARK = r"\b(" + "|".join(LANDMARK_WORDS) + r")\b[^,;]*"
+# Fixed value: a landmark clause, up to the next comma or semicolon.
+LANDMARK = r"\b(near|nr|opp|opposite|behind|beside|besides|next to|adjacent to|close to)\b[^,;]*"
 
 #: Letters and digits of any script; marks and the underscore are not among them. Java's \w would add the marks.
 NOT_WORD = r"(?U)[^\p{L}\p{N}\s]"
