@@ -46,3 +46,8 @@ def blocking_recall(resolved: DataFrame, pairs: DataFrame, records: DataFrame) -
     scope = F.when(F.col("g") == 3, "all").when(F.col("g") == 1, "target").otherwise("country")
     value = F.when(F.col("g") == 3, "").when(F.col("g") == 1, F.col("target")).otherwise(F.col("country_key"))
     return per.select(scope.alias("scope"), value.alias("value"), "hits", "pairs", F.round(F.col("hits") / F.col("pairs"), 6).alias("recall"))
+
+
+def positive_rate(labelled: DataFrame) -> float:
+    """The share of pairs with label 1; 0 without pairs."""
+    return labelled.agg(F.coalesce(F.avg("label"), F.lit(0.0))).first()[0]

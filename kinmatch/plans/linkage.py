@@ -6,10 +6,12 @@ on from there when executors are lost.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import subprocess
+import sys
+import zipfile
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from pathlib import Path
 
 import numpy as np
 from pyspark.ml import PipelineModel
@@ -21,25 +23,12 @@ from ..operators.records import assert_unique, build_records, country_key
 from ..operators.report import prediction_summary
 from ..operators.split import Tables
 from ..sources import tsv
+from ..staging import stage
 from .config import RunConfig
 
 EmbedFn = Callable[[list[str]], np.ndarray]
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kinmatch-"))
-        at = spark.sparkContext.getCheckpointDir()
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    held = spark._jvm.org.apache.hadoop.fs.Path(path)
-    held.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(held)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @dataclass(frozen=True)
 class RescueConfig:
     """Which anchors get nearest neighbours: by quality of the best vote (tenths), or by number of candidates."""
@@ -75,7 +64,8 @@ def build_pair_table(tables: Tables, config: RunConfig, embed_fn: EmbedFn | None
     """Records, candidates (with neighbours if an embedding is given) and features, labelled where truth is known."""
     records = stage(build_records(tables.s1, tables.s2, tables.s3), "records")
     assert_unique(records)
-    scored = blocking.votes(blocking.blocking_keys(records, config.block.same_country), config.block.max_bucket)
+    keys = stage(blocking.blocking_keys(records, config.block.same_country), "keys")  # read by anchors, targets and bucket sizes
+    scored = blocking.votes(keys, config.block.max_bucket)
     if embed_fn is not None:
         scored = stage(scored, "votes")
     pairs = blocking.top_candidates(scored, config.block.max_cand).select("a_id", "b_id")
@@ -99,6 +89,7 @@ class Validation:
     by_country: DataFrame
     baseline: DataFrame
     importances: list[tuple[str, float]]
+    positive_rate: float
 
 
 def anchors_of(tables: Tables) -> DataFrame:
@@ -125,7 +116,7 @@ def validate(tables: Tables, config: RunConfig = RunConfig(), val_frac: float =
     held = replace(config, best_iter=model.best_iteration(fitted), thr2=best.thr2, thr3=best.thr3, val_f05=value or 0.0)
     return Validation(
         held, fitted, scored, truth.blocking_recall(b.resolved, b.pairs, b.records), macro, metric.macro_by_country(scores),
-        metric.empty_baseline(counts), model.importances(fitted, config.features),
+        metric.empty_baseline(counts), model.importances(fitted, config.features), truth.positive_rate(a.features),
     )
 
 
@@ -170,9 +161,33 @@ def check_lists(matches: DataFrame, candidates: DataFrame, anchors: DataFrame) -
     return out
 
 
+MATCHES, CANDIDATES = "matching_results.tsv", "candidate_pairs.tsv"
+
+
 def write_prediction(made: Prediction, out_dir: str, single_file: bool = True) -> None:
-    tsv.write_id_lists(made.matches, f"{out_dir}/matching_results.tsv", "matched_entity_ids", single_file=single_file)
-    tsv.write_id_lists(made.candidates, f"{out_dir}/candidate_pairs.tsv", "candidate_entity_ids", single_file=single_file)
+    tsv.write_id_lists(made.matches, f"{out_dir}/{MATCHES}", "matched_entity_ids", single_file=single_file)
+    tsv.write_id_lists(made.candidates, f"{out_dir}/{CANDIDATES}", "candidate_entity_ids", single_file=single_file)
+
+
+def run_validator(script: str, out_dir: str, test_dir: str) -> int | None:
+    """Runs an external validator on the written lists; its exit code, or nothing if there is no such script."""
+    if not Path(script).exists():
+        return None
+    return subprocess.run([sys.executable, script, "--matching", f"{out_dir}/{MATCHES}", "--candidate", f"{out_dir}/{CANDIDATES}", "--test-dir", test_dir], check=False).returncode
+
+
+def package(out_dir: str, target: str, code_dir: str | None = None, documents: tuple[str, ...] = ()) -> list[str]:
+    """A zip of the written lists under output/, the code under code/ and further files; the names in it."""
+    left_out = {".git", "dataset", "artifacts", "output", "experiments", "submissions", "tests", "__pycache__"}
+    held = [(Path(out_dir) / name, f"output/{name}") for name in (MATCHES, CANDIDATES)]
+    if code_dir:
+        files = sorted(p for p in Path(code_dir).rglob("*") if p.is_file() and p.suffix != ".log" and not left_out & set(p.relative_to(code_dir).parts))
+        held += [(p, f"code/{Path(code_dir).resolve().name}/{p.relative_to(code_dir)}") for p in files]
+    held += [(Path(p), Path(p).name) for p in documents]
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for path, name in held:
+            z.write(path, name)
+    return [name for _, name in held]
 
 
 def session(app: str = "kinmatch") -> SparkSession:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import similarity as S
 from .functions import text as T
 from .operators import blocking, decode, features, metric, model, ranking, records, report, rescue, split, tfidf, truth
+from .staging import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -245,12 +246,19 @@ def _keys(spark, sf_dir, same_country=True):
     return blocking.blocking_keys(er_records(spark, sf_dir), same_country)
 
 
-def _votes(spark, sf_dir):
-    return blocking.votes(_keys(spark, sf_dir))
+def _records(spark, sf_dir):
+    """For queries that read records more than once: normalised once."""
+    return stage(er_records(spark, sf_dir), "records")
 
 
-def _candidates(spark, sf_dir):
-    return blocking.top_candidates(_votes(spark, sf_dir))
+def _votes(spark, sf_dir, recs=None, max_bucket=1000):
+    """The keys are read by anchors, targets and bucket sizes, so they are made once."""
+    keys = blocking.blocking_keys(er_records(spark, sf_dir) if recs is None else recs)
+    return blocking.votes(stage(keys, "keys"), max_bucket)
+
+
+def _candidates(spark, sf_dir, recs=None):
+    return blocking.top_candidates(_votes(spark, sf_dir, recs))
 
 
 @query(f"WITH {KEYS} SELECT * FROM keys")
@@ -275,7 +283,7 @@ def votes(spark, sf_dir):
 
 @query(f"WITH {_votes_sql(20)} SELECT * FROM votes")
 def votes_small_buckets(spark, sf_dir):
-    return blocking.votes(_keys(spark, sf_dir), 20)
+    return _votes(spark, sf_dir, max_bucket=20)
 
 
 @query(f"WITH {CAND} SELECT * FROM cand")
@@ -285,7 +293,8 @@ def candidates_topk(spark, sf_dir):
 
 @query(f"WITH {_cand_sql(10, max_bucket=100, country=repr(''))} SELECT * FROM cand")
 def candidates_cross_country(spark, sf_dir):
-    return blocking.candidates(er_records(spark, sf_dir), blocking.BlockingConfig(same_country=False, max_bucket=100, max_cand=10))
+    keys = stage(_keys(spark, sf_dir, same_country=False), "keys")
+    return blocking.top_candidates(blocking.votes(keys, 100), 10)
 
 
 @query(f"WITH {VOTES} SELECT a_id, max(score) AS best FROM votes GROUP BY a_id")
@@ -295,12 +304,14 @@ def best_vote(spark, sf_dir):
 
 @query(f"WITH {VOTES} SELECT entity_id AS a_id, coalesce(max(score), 0) AS best FROM rec LEFT JOIN votes ON a_id = entity_id WHERE source = 'S1' GROUP BY entity_id HAVING coalesce(max(score), 0) < 130")
 def weak_entities(spark, sf_dir):
-    return blocking.weak_entities(er_records(spark, sf_dir), _votes(spark, sf_dir), 130)
+    recs = _records(spark, sf_dir)
+    return blocking.weak_entities(recs, _votes(spark, sf_dir, recs), 130)
 
 
 @query(f"WITH {CAND} SELECT entity_id AS a_id, count(b_id) AS n FROM rec LEFT JOIN cand ON a_id = entity_id WHERE source = 'S1' GROUP BY entity_id HAVING count(b_id) < 15")
 def sparse_entities(spark, sf_dir):
-    return blocking.sparse_entities(er_records(spark, sf_dir), _candidates(spark, sf_dir), 15)
+    recs = _records(spark, sf_dir)
+    return blocking.sparse_entities(recs, _candidates(spark, sf_dir, recs), 15)
 
 
 # --- truth and reports -----------------------------------------------------------------------------------------------
@@ -329,6 +340,11 @@ def labelled_pairs(spark, sf_dir):
     return truth.label(_candidates(spark, sf_dir).select("a_id", "b_id"), _resolved(spark, sf_dir))
 
 
+@query(f"WITH {CAND}, {RESOLVED} SELECT round(avg(CAST(res.a_id IS NOT NULL AS INT)), 9) AS positive_rate FROM cand LEFT JOIN res USING (a_id, b_id)")
+def positive_rate(spark, sf_dir):
+    return labelled_pairs(spark, sf_dir).agg(F.round(F.avg("label"), 9).alias("positive_rate"))
+
+
 @query(f"""WITH {CAND}, {RESOLVED}, r AS (
     SELECT a.country_key, b.source AS target, CAST(cand.a_id IS NOT NULL AS BIGINT) AS hit FROM res LEFT JOIN cand USING (a_id, b_id)
     JOIN rec a ON a.entity_id = res.a_id JOIN rec b ON b.entity_id = res.b_id
@@ -400,7 +416,8 @@ PAIRS = f"{CAND}, ab AS (SELECT a_id, b_id, a, b FROM cand JOIN rec a ON a.entit
 
 
 def _pair_rows(spark, sf_dir):
-    return features.with_records(_candidates(spark, sf_dir).select("a_id", "b_id"), er_records(spark, sf_dir))
+    recs = _records(spark, sf_dir)
+    return features.with_records(_candidates(spark, sf_dir, recs).select("a_id", "b_id"), recs)
 
 
 def _round(c):
@@ -526,7 +543,8 @@ def _tfidf_sql() -> str:
 
 
 def _weights(spark, sf_dir):
-    return tfidf.weights(tfidf.touched(er_records(spark, sf_dir), _candidates(spark, sf_dir)))
+    recs = _records(spark, sf_dir)
+    return tfidf.weights(tfidf.touched(recs, stage(_candidates(spark, sf_dir, recs), "pairs")))
 
 
 @query(f"WITH {_tfidf_sql()} SELECT view, entity_id, term, round(w, 6) AS w FROM w WHERE view <> 'name_word'")
@@ -549,7 +567,8 @@ def _cosine_sql() -> str:
 
 @query(f"WITH {_cosine_sql()} SELECT * FROM cosine")
 def pair_cosine(spark, sf_dir):
-    return tfidf.pair_cosines(er_records(spark, sf_dir), _candidates(spark, sf_dir).select("a_id", "b_id"))
+    recs = _records(spark, sf_dir)
+    return tfidf.pair_cosines(recs, stage(_candidates(spark, sf_dir, recs).select("a_id", "b_id"), "pairs"))
 
 
 # --- ranks -----------------------------------------------------------------------------------------------------------
@@ -780,8 +799,9 @@ def embed_similarity(spark, sf_dir):
 
 
 def _features(spark, sf_dir):
-    recs = er_records(spark, sf_dir)
-    return truth.label(features.build_features(_candidates(spark, sf_dir), recs), _resolved(spark, sf_dir))
+    recs = _records(spark, sf_dir)
+    pairs = stage(_candidates(spark, sf_dir, recs).select("a_id", "b_id"), "pairs")
+    return truth.label(features.build_features(pairs, recs), _resolved(spark, sf_dir))
 
 
 @query()
@@ -791,5 +811,5 @@ def pair_features(spark, sf_dir):
 
 @query()
 def gbt_scores(spark, sf_dir):
-    rows = _features(spark, sf_dir).persist()  # boosting reads them once per tree
+    rows = stage(_features(spark, sf_dir), "features")  # boosting reads them once per tree
     return model.score(rows, model.fit(rows))

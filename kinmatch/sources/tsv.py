@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gzip as zipped
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,15 +36,44 @@ def load_split(spark: SparkSession, data_dir: str, split: str) -> Tables:
     return Tables(s1.withColumn("ordinal", F.monotonically_increasing_id()), s2, s3, truth)
 
 
-def write_tsv(df: DataFrame, path: str, gzip: bool = False) -> None:
-    df.write.mode("overwrite").options(**_FORMAT, **({"compression": "gzip"} if gzip else {})).csv(path)
+def write_tsv(df: DataFrame, path: str, gzip: bool = False, single_file: bool = False) -> None:
+    """A folder of files, each with a header; or one file, put together from them by copying, in the order of df's partitions.
+
+    No task holds more than its own part. Gzip files stay valid when they follow one another.
+    """
+    options = {**_FORMAT, **({"compression": "gzip"} if gzip else {})}
+    if not single_file:
+        df.write.mode("overwrite").options(**options).csv(path)
+        return
+    spark = df.sparkSession
+    fs = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    target, parts = fs.Path(path), fs.Path(f"{path}.parts-{uuid.uuid4().hex}")
+    at = target.getFileSystem(conf)
+    try:
+        df.write.options(**{**options, "header": False}).csv(parts.toString())
+        found = sorted(x.getPath().getName() for x in at.listStatus(parts))
+        at.delete(target, True)
+        out = at.create(target)
+        try:
+            header = ("\t".join(df.columns) + "\n").encode()
+            out.write(bytearray(zipped.compress(header, mtime=0) if gzip else header))
+            for name in found:
+                if name.startswith("part-"):
+                    read = at.open(fs.Path(parts, name))
+                    spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(read, out, conf, False)
+                    read.close()
+        finally:
+            out.close()
+    finally:
+        at.delete(parts, True)
 
 
 def write_id_lists(lists: DataFrame, path: str, column: str, order: str = "ordinal", single_file: bool = True) -> None:
     """source1_entity_id and a comma list per anchor, in the anchors' order. Files of a large result are in order by name."""
     rows = lists.orderBy(order).select(F.col("s1_id").alias("source1_entity_id"), column)
-    write_tsv(rows.coalesce(1) if single_file else rows, path)
+    write_tsv(rows, path, single_file=single_file)
 
 
 def write_scored_pairs(scored: DataFrame, path: str) -> None:
-    write_tsv(scored.select("a_id", "b_id", "src", "label", "p"), path, gzip=True)
+    write_tsv(scored.select("a_id", "b_id", "src", "label", "p"), path, gzip=True, single_file=True)

@@ -20,7 +20,7 @@ def sql():
 #: One query or two of each group; the others share their parts.
 NAMES = (
     "normalised_records", "name_core", "addr_core", "postal_codes", "blocking_keys", "votes_small_buckets", "candidates_topk", "weak_entities", "truth_lists",
-    "blocking_recall", "matched_share", "num_overlap", "jaro_winkler", "pair_cosine", "rank_gap_s1", "prediction_lists", "f05_by_country", "threshold_grid",
+    "blocking_recall", "matched_share", "num_overlap", "jaro_winkler", "pair_cosine", "positive_rate", "rank_gap_s1", "prediction_lists", "f05_by_country", "threshold_grid",
     "target_ownership", "subsample", "knn_rescue",
 )
 
