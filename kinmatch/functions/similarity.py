@@ -1,14 +1,15 @@
 """String similarities of candidate pairs.
 
 Built-in expressions cover everything but the alignment measures (indel ratios, partial ratio, Jaro-Winkler), which share one
-Arrow UDF and so one crossing to Python. Values are definition-equal to the usual ones; all are NULL unless both sides are
-non-empty.
+Arrow UDF and so one crossing to Python; there a batch's distinct pairs are worked on together, a machine word of a text at a time. Values are
+definition-equal to the usual ones; all are NULL unless both sides are non-empty.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -102,19 +103,153 @@ def jaro_winkler(x: str, y: str) -> float:
     return score + prefix * 0.1 * (1 - score) if score > 0.7 else score
 
 
+#: Texts up to this length fit a machine word; pairs are worked on in blocks of about BLOCK places.
+WORD = 64
+BLOCK = 1 << 18
+
+
+def _codes(texts: list[str], fill: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts as rows, filled up on the right, and their lengths."""
+    n = np.fromiter(map(len, texts), np.int64, len(texts))
+    out = np.full((len(texts), int(n.max(initial=0))), fill, np.int32)
+    out[np.arange(out.shape[1]) < n[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out, n
+
+
+def _matches(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each row and place of y, a word with a bit for each place of x that has the same code point."""
+    out = np.zeros(y.shape, np.uint64)
+    for i in range(x.shape[1]):
+        out |= (x[:, i : i + 1] == y).astype(np.uint64) << np.uint64(i)
+    return out
+
+
+def _step(v: np.ndarray, at: np.ndarray) -> np.ndarray:
+    u = v & at
+    return (v + u) | (v - u)
+
+
+def _unset(v: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """How many of the low `bits` (1 to 64) of each word are not set: the length of the common subsequence so far."""
+    low = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(WORD) - bits.astype(np.uint64))
+    return bits - np.bitwise_count(v & low).astype(np.int64)
+
+
+def _blocks(places: list[int]) -> Iterator[np.ndarray]:
+    """Indices in blocks of rows of about equal length."""
+    held: list[int] = []
+    for i in np.argsort(places, kind="stable").tolist():
+        held.append(i)
+        if len(held) * places[i] >= BLOCK:
+            yield np.array(held)
+            held = []
+    if held:
+        yield np.array(held)
+
+
+def _by_word(f: Callable[[list[str], list[str]], np.ndarray], plain: Callable[[str, str], float], xs: list[str], ys: list[str]) -> np.ndarray:
+    """f of (shorter, longer) texts in blocks; pairs whose shorter text is empty or longer than a word go to `plain`, one by one."""
+    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(xs, ys, strict=True)]
+    out = np.zeros(len(pairs))
+    fit = [i for i, (x, _) in enumerate(pairs) if 0 < len(x) <= WORD]
+    for at in _blocks([len(pairs[i][1]) for i in fit]):
+        rows = [fit[i] for i in at]
+        out[rows] = f([pairs[i][0] for i in rows], [pairs[i][1] for i in rows])
+    for i, (x, y) in enumerate(pairs):
+        if not 0 < len(x) <= WORD:
+            out[i] = plain(x, y)
+    return out
+
+
+def lcs_many(xs: list[str], ys: list[str]) -> np.ndarray:
+    """lcs() of many pairs."""
+
+    def run(short: list[str], long: list[str]) -> np.ndarray:
+        (x, n), (y, _) = _codes(short, -1), _codes(long, -2)
+        at, v = _matches(x, y), np.full(len(short), 0xFFFFFFFFFFFFFFFF, np.uint64)
+        for j in range(y.shape[1]):
+            v = _step(v, at[:, j])
+        return _unset(v, n)
+
+    return _by_word(run, lcs, xs, ys)
+
+
+def _lengths(*texts: list[str]) -> list[np.ndarray]:
+    return [np.fromiter(map(len, t), np.int64, len(t)) for t in texts]
+
+
+def ratio_many(xs: list[str], ys: list[str]) -> np.ndarray:
+    both = sum(_lengths(xs, ys))
+    return np.where(both > 0, 2 * lcs_many(xs, ys) / np.maximum(both, 1), 1.0)
+
+
+def token_set_many(xs: list[str], ys: list[str]) -> np.ndarray:
+    """token_set_ratio() of many pairs: the subsequences of what only one side has are found together."""
+    sets = [(set(x.split()), set(y.split())) for x, y in zip(xs, ys, strict=True)]
+    rest = [(" ".join(sorted(a - b)), " ".join(sorted(b - a))) for a, b in sets]
+    only_a, only_b = [r[0] for r in rest], [r[1] for r in rest]
+    na, nb = _lengths(only_a, only_b)
+    both = np.array([len(a & b) for a, b in sets], np.int64)
+    shared = np.array([sum(map(len, a & b)) for a, b in sets], np.int64) + np.maximum(0, both - 1)
+    gap = (both > 0).astype(np.int64)
+    la, lb = shared + gap + na, shared + gap + nb
+    best = np.where(la + lb > 0, 1 - (na + nb - 2 * lcs_many(only_a, only_b)) / np.maximum(la + lb, 1), 0.0)
+    some = np.maximum(best, 2 * shared / np.maximum(shared + np.minimum(la, lb), 1))
+    return np.where(both > 0, np.where((na == 0) | (nb == 0), 1.0, some), best)
+
+
+def partial_many(xs: list[str], ys: list[str]) -> np.ndarray:
+    """partial_ratio() of many pairs: the windows of a text from all its places grow together, by one place a step."""
+
+    def windows(short: list[str], long: list[str]) -> np.ndarray:
+        (x, n), (y, m) = _codes(short, -1), _codes(long, -2)
+        at, places = _matches(x, y), np.arange(y.shape[1])
+        v, best = np.full(y.shape, 0xFFFFFFFFFFFFFFFF, np.uint64), np.zeros(len(short))
+        for t in range(x.shape[1]):
+            ahead = np.zeros_like(at)
+            ahead[:, : y.shape[1] - t] = at[:, t:]
+            ahead[n <= t] = 0  # a window is no longer than the shorter text
+            v = _step(v, ahead)
+            size = np.minimum(t + 1, n)  # of the window at the start, which may be cut off there
+            best = np.maximum(best, 2 * _unset(v[:, 0], n) / (n + size))
+        size = np.minimum(n[:, None], m[:, None] - places)  # cut off at the end
+        found = np.where(size > 0, 2 * _unset(v, n[:, None]) / (n[:, None] + np.maximum(size, 1)), 0.0)
+        return np.maximum(best, found.max(axis=1))
+
+    def run(short: list[str], long: list[str]) -> np.ndarray:
+        out = windows(short, long)
+        same = [i for i, (a, b) in enumerate(zip(short, long, strict=True)) if len(a) == len(b)]
+        if same:
+            out[same] = np.maximum(out[same], windows([long[i] for i in same], [short[i] for i in same]))
+        return out
+
+    return _by_word(run, partial_ratio, xs, ys)
+
+
 ALIGNED = ("n_ratio", "n_tsort", "n_tset", "n_partial", "n_jw", "nfull_tset", "a_ratio", "a_tsort", "a_tset", "a_partial")
 
 
+def four_ratios(xs: list[str], ys: list[str]) -> np.ndarray:
+    """A column each for ratio, token sort, token set and partial ratio."""
+    tidy = lambda texts: [" ".join(sorted(t.split())) for t in texts]
+    return np.column_stack([ratio_many(xs, ys), ratio_many(tidy(xs), tidy(ys)), token_set_many(xs, ys), partial_many(xs, ys)])
+
+
+def _distinct(x: pd.Series, y: pd.Series, measure: Callable[[list[str], list[str]], np.ndarray], width: int) -> np.ndarray:
+    """`measure` of the batch's distinct pairs; missing where a side is empty."""
+    pairs = list(zip(x, y, strict=True))
+    place = {p: i for i, p in enumerate({p: None for p in pairs if p[0] and p[1]})}
+    found = measure([p[0] for p in place], [p[1] for p in place]).reshape(len(place), width) if place else np.zeros((0, width))
+    return np.vstack([found, np.full((1, width), np.nan)])[[place.get(p, -1) for p in pairs]]
+
+
 @F.pandas_udf(StructType([StructField(c, DoubleType()) for c in ALIGNED]))
 def aligned(x: pd.Series, y: pd.Series, nx: pd.Series, ny: pd.Series, p: pd.Series, q: pd.Series) -> pd.DataFrame:
     """name_core, name_norm and addr_core of both sides."""
-    four = lru_cache(1 << 16)(lambda a, b: (ratio(a, b), token_sort_ratio(a, b), token_set_ratio(a, b), partial_ratio(a, b)))
-    nothing = (None,) * 4
-    rows = []
-    for a, b, na, nb, c, d in zip(x, y, nx, ny, p, q, strict=True):
-        name = four(a, b) if a and b else nothing
-        rows.append((*name, jaro_winkler(a, b) if a and b else None, token_set_ratio(na, nb) if na and nb else None, *(four(c, d) if c and d else nothing)))
-    return pd.DataFrame(rows, columns=list(ALIGNED)).astype("float64")
+    jw = lambda a, b: np.array([jaro_winkler(*t) for t in zip(a, b, strict=True)])
+    parts = [_distinct(x, y, four_ratios, 4), _distinct(x, y, jw, 1), _distinct(nx, ny, token_set_many, 1), _distinct(p, q, four_ratios, 4)]
+    out = pd.DataFrame(np.hstack(parts), columns=list(ALIGNED)).astype(object)
+    return out.where(out.notna(), None)
 
 
 def jaccard(x: Column, y: Column) -> Column:

@@ -1,8 +1,8 @@
 """Nearest-neighbour candidates for anchors that keys don't serve, from embeddings of names.
 
-Exact top-k by cosine within country and target source. Anchors and pool are cut into blocks, each pair of blocks is one matrix
-product in one task, and a block returns at most top_k rows per anchor; their top_k are the answer. Only the weak anchors are
-compared, against the whole pool.
+Exact top-k by cosine within country and target source. Anchors and pool are cut into blocks, a pair of blocks is one task, which takes
+its anchors SLICE at a time and returns at most top_k rows for each; their top_k are the answer. Only the weak anchors are
+compared, against the whole pool: they are the few, so their blocks are the large ones and the pool moves once for each of those.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ANCHOR_BLOCK = 2048
+ANCHOR_BLOCK = 32_768
 POOL_BLOCK = 8192
+SLICE = 1024
 DIGITS = 6
 
 
@@ -55,13 +56,16 @@ def nearest(anchors: DataFrame, pool: DataFrame, top_k: int = 10, sim_min: float
         none = pd.DataFrame({"a_id": [], "b_id": [], "target": [], "sim": []})
         if not len(a) or not len(b):
             return none
-        sims = np.round(np.stack(a["vec"].tolist()).astype(float) @ np.stack(b["vec"].tolist()).astype(float).T, DIGITS)
-        ids = b["b_id"].to_numpy()
-        by_id = np.argsort(ids, kind="stable")
-        best = np.argsort(-sims[:, by_id], axis=1, kind="stable")[:, :top_k]
-        rows, cols = np.repeat(np.arange(len(a)), best.shape[1]), by_id[best.ravel()]
-        out = pd.DataFrame({"a_id": a["a_id"].to_numpy()[rows], "b_id": ids[cols], "target": b["target"].iloc[0], "sim": sims[rows, cols]})
-        return out[out["sim"] >= sim_min]
+        b = b.sort_values("b_id", kind="stable")  # ties by id
+        ids, other, out = b["b_id"].to_numpy(), np.stack(b["vec"].tolist()).astype(float).T, []
+        for i in range(0, len(a), SLICE):
+            part = a.iloc[i : i + SLICE]
+            sims = np.round(np.stack(part["vec"].tolist()).astype(float) @ other, DIGITS)
+            best = np.argsort(-sims, axis=1, kind="stable")[:, :top_k]
+            rows, cols = np.repeat(np.arange(len(part)), best.shape[1]), best.ravel()
+            found = pd.DataFrame({"a_id": part["a_id"].to_numpy()[rows], "b_id": ids[cols], "target": b["target"].iloc[0], "sim": sims[rows, cols]})
+            out.append(found[found["sim"] >= sim_min])
+        return pd.concat(out, ignore_index=True)
 
     a_kind, b_kind = anchors.schema["a_id"].dataType.simpleString(), pool.schema["b_id"].dataType.simpleString()
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(product, f"a_id {a_kind}, b_id {b_kind}, target string, sim double")

@@ -58,6 +58,21 @@ def test_partial(x, y):
     assert S.partial_ratio(x, y) == pytest.approx(want)
 
 
+MANY = st.lists(st.tuples(st.text("abcé ", max_size=70), st.text("abcé ", max_size=70)), max_size=12)
+
+
+@settings(max_examples=150, deadline=None)
+@given(MANY | st.lists(st.tuples(WORDS, WORDS), max_size=12))
+def test_many_at_once(pairs):
+    """The measures of a batch are those of its pairs, texts longer than a machine word and empty ones among them."""
+    xs, ys = [x for x, _ in pairs], [y for _, y in pairs]
+    assert S.lcs_many(xs, ys).tolist() == [S.lcs(x, y) for x, y in pairs]
+    assert S.ratio_many(xs, ys) == pytest.approx([S.ratio(x, y) for x, y in pairs])
+    assert S.token_set_many(xs, ys) == pytest.approx([S.token_set_ratio(x, y) for x, y in pairs])
+    held = [(x, y) for x, y in pairs if x and y]
+    assert S.partial_many([x for x, _ in held], [y for _, y in held]) == pytest.approx([S.partial_ratio(x, y) for x, y in held])
+
+
 def test_the_last_of_equal_thresholds_wins(spark):
     """All thresholds up to the lowest p give the same value: the highest of them is taken, for S2 before S3."""
     pairs = [("a", "x", 0, 0.9, 1), ("a", "y", 1, 0.7, 1), ("b", "z", 0, 0.31, 0)]
