@@ -3,13 +3,16 @@
 Every text gets counts (words, symbols, repeated lines, repeated three-word windows, ...) in SQL functions alone. From these
 come rates in thousandths. A sketch of a rate is a histogram whose bins keep the ten leading bits of a value, so a quantile is
 right to 0.2 %, sketches of parts add up to the sketch of the whole, and the same rows give the same sketch in any order.
-Sketches are summed per language and source, and from there per language and for the whole table; a group with fewer than
-LEAST_ROWS documents takes the thresholds of its language, or else those of the table. A text is kept unless a rate lies
-outside median +- max(SLACK, SPREAD * distance of the median to the quartile) of its group.
+Sketches are summed per language and source, and from there per language and for the whole table. A text is kept unless a rate lies beyond
+its group's bounds: the median plus or minus SPREAD times the distance to the quartile, or, where the quartile is the median, TAIL times the
+distance to the decile, and in any case one LEASTth of the median, so that groups of much the same texts don't lose harmless ones. Only where all
+three are 0, as the median and the decile are 0, RULES' floor stands in for them: such a sketch says nothing about how far is too far.
+A group's bounds are averaged with its language's, which count as PRIOR documents, and a language's likewise with the table's; so
+small groups lean on larger ones without a size at which the rule changes.
 
 Defined cases: a null or empty text, or one without words, has counts 0 and fails the base rule. Null languages and sources
-are values of their own. Repeated rows each count. An empty table gives an empty result. Further columns are ignored
-by measure() and carried by filter_quality(). Windows of a text are told apart by a 64-bit hash of their three words.
+are values of their own. Repeated rows each count. Ties don't matter, as a sketch has no order of rows. Very long texts are counted whole, in one row.
+An empty table gives an empty result. Further columns are ignored. Windows of a text are told apart by a 64-bit hash of their three words.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, GAP, cut, documents, sized
 
-#: rate: sides checked ("+" above, "-" below, "±" both), and the least distance from the median that counts, in thousandths.
+#: rate: sides checked ("+" above, "-" below, "±" both), and the distance from the median where the sketch has no spread, in thousandths.
 RULES = {
     "symbols": ("+", 100),
     "capitals": ("+", 200),
@@ -28,8 +31,10 @@ RULES = {
     "distinct": ("-", 300),
     "length": ("±", 2500),
 }
-SPREAD = 6
-LEAST_ROWS = 30
+SPREAD = 10
+TAIL = 20
+LEAST = 4
+PRIOR = 30
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -108,35 +113,39 @@ def bounds(sketch: DataFrame, keys: list[str]) -> DataFrame:
     merged = sketch.groupBy(*keys, "rule", "bin").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "rule")
     merged = merged.select("*", F.sum("n").over(group).alias("rows"), F.sum("n").over(group.orderBy("bin")).alias("below"))
-    q = lambda p: F.min(F.when(100 * F.col("below") >= p * F.col("rows"), F.col("bin")))
-    quart = merged.groupBy(*keys, "rule").agg(F.max("rows").alias("rows"), q(25).alias("q25"), q(50).alias("q50"), q(75).alias("q75"))
+    q = lambda p: F.min(F.when(100 * F.col("below") >= p * F.col("rows"), F.col("bin"))).alias(f"q{p}")
+    marks = merged.groupBy(*keys, "rule").agg(F.max("rows").alias("rows"), *map(q, (10, 25, 50, 75, 90)))
+    up, up_tail, down, down_tail = F.col("q75") - F.col("q50"), F.col("q90") - F.col("q50"), F.col("q50") - F.col("q25"), F.col("q50") - F.col("q10")
+
+    def reach(near: Column, far: Column, floor: int) -> Column:
+        out = F.greatest(F.when(near > 0, SPREAD * near).otherwise(TAIL * far), F.expr(f"q50 div {LEAST}"))
+        return F.when(out > 0, out).otherwise(F.lit(floor))
+
     out = []
-    for rule, (sides, slack) in RULES.items():
-        low = F.col("q50") - F.greatest(F.lit(slack), SPREAD * (F.col("q50") - F.col("q25")))
-        high = F.col("q50") + F.greatest(F.lit(slack), SPREAD * (F.col("q75") - F.col("q50")))
+    for rule, (sides, floor) in RULES.items():
         here = F.col("rule") == rule
-        out += [F.max(F.when(here, low)).alias(f"low_{rule}")] if sides != "+" else []
-        out += [F.max(F.when(here, high)).alias(f"high_{rule}")] if sides != "-" else []
-    return quart.groupBy(*keys).agg(F.max("rows").alias("rows"), *out)
+        if sides != "+":
+            out.append(F.max(F.when(here, F.greatest(F.lit(0), F.col("q50") - reach(down, down_tail, floor)))).alias(f"low_{rule}"))
+        if sides != "-":
+            out.append(F.max(F.when(here, F.col("q50") + reach(up, up_tail, floor))).alias(f"high_{rule}"))
+    return marks.groupBy(*keys).agg(F.max("rows").alias("rows"), *out)
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """lang, source and the bounds that hold there: the group's own, its language's or the table's."""
+    """lang, source and the bounds that hold there: the group's own, averaged with its language's and the table's."""
     own, by_lang, overall = bounds(sketch, ["lang", "source"]), bounds(sketch, ["lang"]), bounds(sketch, [])
     names = [c for c in own.columns if c.startswith(("low_", "high_"))]
-    pick = lambda df, p: df.select(*[c for c in ("lang", "source") if c in df.columns], F.col("rows").alias(f"{p}_rows"), *[F.col(c).alias(f"{p}_{c}") for c in names])
-    g, m, o = pick(own, "g"), pick(by_lang, "m"), pick(overall, "o")
-    m = m.withColumnRenamed("lang", "m_lang")
-    both = g.join(m, g["lang"].eqNullSafe(m["m_lang"])).join(F.broadcast(o))  # o is one row
-    best = lambda c: F.when(F.col("g_rows") >= LEAST_ROWS, F.col(f"g_{c}")).when(F.col("m_rows") >= LEAST_ROWS, F.col(f"m_{c}")).otherwise(F.col(f"o_{c}"))
-    return both.select("lang", "source", *[best(c).alias(c) for c in names])
+    lean = lambda mine, wider: F.expr(f"(rows * {mine} + {PRIOR} * {wider}) div (rows + {PRIOR})")
+    by_lang = by_lang.join(F.broadcast(overall.select(*[F.col(c).alias(f"o_{c}") for c in names])))  # one row
+    by_lang = by_lang.select(F.col("lang").alias("of"), *[lean(c, f"o_{c}").alias(f"m_{c}") for c in names])
+    both = own.join(by_lang, own["lang"].eqNullSafe(by_lang["of"]))
+    return both.select("lang", "source", *[lean(c, f"m_{c}").alias(c) for c in names])
 
 
 def judge(measured: DataFrame) -> DataFrame:
     """measured (a table from cut()) with `kept`."""
-    marks = {"__no_lang": F.col("lang").isNull(), "__lang": F.coalesce("lang", F.lit("")), "__no_source": F.col("source").isNull(), "__source": F.coalesce("source", F.lit(""))}
-    held = cut(thresholds(sketches(measured)), "thresholds")
-    rows = measured.withColumns(marks).join(sized(held.withColumns(marks).drop("lang", "source")), list(marks), "left")
+    held = sized(cut(thresholds(sketches(measured)), "thresholds").withColumnsRenamed({"lang": "of_lang", "source": "of_source"}))
+    rows = measured.join(held, measured["lang"].eqNullSafe(held["of_lang"]) & measured["source"].eqNullSafe(held["of_source"]), "left")
     within = [F.col(r) >= F.col(f"low_{r}") for r, (s, _) in RULES.items() if s != "+"] + [F.col(r) <= F.col(f"high_{r}") for r, (s, _) in RULES.items() if s != "-"]
     fine = ~F.col("base_failed")
     for x in within:
@@ -189,18 +198,21 @@ def _sql() -> str:
     for p, keys in levels.items():
         group = keys.rpartition("rule")[0].rstrip(", ")
         cols = []
-        for r, (sides, slack) in RULES.items():
-            low = f"max(q50 - greatest({slack}, {SPREAD} * (q50 - q25))) FILTER (rule = '{r}') AS low_{r}"
-            high = f"max(q50 + greatest({slack}, {SPREAD} * (q75 - q50))) FILTER (rule = '{r}') AS high_{r}"
+        for r, (sides, floor) in RULES.items():
+            reach = lambda near, far: f"coalesce(nullif(greatest(CASE WHEN {near} > 0 THEN {SPREAD} * ({near}) ELSE {TAIL} * ({far}) END, q50 // {LEAST}), 0), {floor})"
+            down, up = reach("q50 - q25", "q50 - q10"), reach("q75 - q50", "q90 - q50")
+            low = f"max(greatest(0, q50 - {down})) FILTER (rule = '{r}') AS low_{r}"
+            high = f"max(q50 + {up}) FILTER (rule = '{r}') AS high_{r}"
             cols += [low] * (sides != "+") + [high] * (sides != "-")
         parts.append(f"""{p}1 AS (SELECT {keys}, bin, sum(n) AS n FROM s GROUP BY ALL
 ), {p}2 AS (SELECT *, sum(n) OVER (PARTITION BY {keys}) AS rows, sum(n) OVER (PARTITION BY {keys} ORDER BY bin) AS below FROM {p}1
-), {p}3 AS (SELECT {keys}, max(rows) AS rows, {', '.join(f'min(bin) FILTER (100 * below >= {q} * rows) AS q{q}' for q in (25, 50, 75))} FROM {p}2 GROUP BY ALL
+), {p}3 AS (SELECT {keys}, max(rows) AS rows, {', '.join(f'min(bin) FILTER (100 * below >= {q} * rows) AS q{q}' for q in (10, 25, 50, 75, 90))} FROM {p}2 GROUP BY ALL
 ), {p} AS (SELECT {group + ', ' if group else ''}max(rows) AS rows, {', '.join(cols)} FROM {p}3 {'GROUP BY ' + group if group else ''})""")
     names = [f"{side}_{r}" for r, (s, _) in RULES.items() for side in (["low"] * (s != "+") + ["high"] * (s != "-"))]
-    pick = ", ".join(f"CASE WHEN g.rows >= {LEAST_ROWS} THEN g.{c} WHEN m_.rows >= {LEAST_ROWS} THEN m_.{c} ELSE o.{c} END AS {c}" for c in names)
-    parts[2] = parts[2].replace("m1", "m1").replace("), m AS (", "), m_ AS (")
-    parts.append(f"t AS (SELECT g.lang, g.source, {pick} FROM g JOIN m_ ON g.lang IS NOT DISTINCT FROM m_.lang, o)")
+    lean = lambda t, c, wider: f"({t}.rows * {t}.{c} + {PRIOR} * {wider}.{c}) // ({t}.rows + {PRIOR}) AS {c}"
+    parts[2] = parts[2].replace("), m AS (", "), m_ AS (")
+    parts.append(f"ml AS (SELECT m_.lang, {', '.join(lean('m_', c, 'o') for c in names)} FROM m_, o)")
+    parts.append(f"t AS (SELECT g.lang, g.source, {', '.join(lean('g', c, 'ml') for c in names)} FROM g JOIN ml ON g.lang IS NOT DISTINCT FROM ml.lang)")
     tests = [f'coalesce(m."{c.split("_")[1]}" {">=" if c.startswith("low") else "<="} t.{c}, TRUE)' for c in names]
     return ", ".join(parts) + f"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {' AND '.join(tests)} AS kept

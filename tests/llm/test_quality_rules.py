@@ -1,7 +1,7 @@
 import re
 from collections import Counter
 
-from kinmatch.llm.quality_rules import judge, measure, sketch_bin, sketches, thresholds
+from kinmatch.llm.quality_rules import LEAST, PRIOR, RULES, SPREAD, TAIL, bounds, judge, measure, sketch_bin, sketches, thresholds
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -43,12 +43,40 @@ def test_outliers_go_and_plain_texts_stay(spark):
     assert {r["doc_id"] for r in judged if not r["kept"]} == {900, 901}
 
 
-def test_a_small_group_takes_the_wider_thresholds(spark):
+def test_a_small_group_leans_on_its_language(spark):
     words = " ".join(f"w{i}" for i in range(60))
     rows = [(i, words, "en", "big") for i in range(40)] + [(99, words.replace("w", "w#"), "en", "small")]
     held = measure(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
     by = {r["source"]: r for r in thresholds(sketches(held)).collect()}
-    assert by["small"]["high_symbols"] == by["big"]["high_symbols"] == 100
+    # own bounds: a median of 0 without any spread (the floor, 100), and 1000 plus a quarter
+    assert by["big"]["high_symbols"] == 100 and by["small"]["high_symbols"] == (1250 + PRIOR * 100) // (1 + PRIOR)
+    assert {r["doc_id"] for r in judge(held).collect() if not r["kept"]} == {99}
+
+
+def plain_bounds(values, sides, floor):
+    """The bounds of one rate by sorting all its values, without a sketch."""
+    held = sorted(values)
+    q = lambda p: next(v for i, v in enumerate(held, 1) if 100 * i >= p * len(held))
+    out = {}
+    for side, near, far in (("low", 25, 10), ("high", 75, 90)):
+        reach = max(SPREAD * abs(q(near) - q(50)) or TAIL * abs(q(far) - q(50)), q(50) // LEAST) or floor
+        out[side] = max(0, q(50) - reach) if side == "low" else q(50) + reach
+    return {s: out[s] for s in ("low", "high") if sides in ("±", "-" if s == "low" else "+")}
+
+
+def test_bounds_against_sorted_values(spark):
+    """Rates below 1024 have bins of their own, so the sketch's bounds are those of all values."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    held = measure(docs)
+    rows = [r for r in held.collect() if not r["base_failed"]]
+    got = {r["lang"]: r for r in bounds(sketches(held), ["lang"]).collect()}
+    assert len(got) > 1
+    for rule, (sides, floor) in RULES.items():
+        if rule == "length":  # above 1024
+            continue
+        for lang, b in got.items():
+            want = plain_bounds([r[rule] for r in rows if r["lang"] == lang and r[rule] < 1024] if rule != "symbols" else [r[rule] // 2 * 2 if 1024 <= r[rule] < 2048 else r[rule] // 4 * 4 if r[rule] >= 2048 else r[rule] for r in rows if r["lang"] == lang], sides, floor)
+            assert {s: b[f"{s}_{rule}"] for s in want} == want
 
 
 def test_no_rows(no_docs):
