@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import stage as cut  # noqa: F401  writes a table to the shared folder and reads it back
+
 #: A word is a maximal run of anything but space, \t, \n, \v, \f and \r.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -27,32 +26,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Where the session names none (tests, one machine), a temporary one is set."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="kinmatch-")
-        sc.setCheckpointDir(at)
-        at = sc.getCheckpointDir()
-    return at.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: a later stage survives the loss of any executor.
-
-    The folder is removed when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def sized(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """df marked for broadcast if it has at most `most` rows, with at most `most_bytes` of text and binary; else as it is, so that Spark
     shuffles the join.
@@ -97,16 +70,6 @@ def uniform(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def drawn(rows: DataFrame, most: int) -> DataFrame:
-    """At most `most` rows of a table from cut(), those with the smallest md5 of doc_id.
-
-    Rows beyond about twice that number are left out before any sort, so what one task has to order doesn't grow with the table.
-    """
-    share = min(1.0, 2 * most / max(1, rows.count()))
-    near = rows.where(uniform(F.col("doc_id")) < share)
-    return near.orderBy(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "doc_id").limit(most)
-
-
 def with_text_ids(docs: DataFrame) -> DataFrame:
     """doc_id as text, and text: pandas holds integers with nulls among them as floats, which can't tell large ones apart."""
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
