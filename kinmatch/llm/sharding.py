@@ -5,10 +5,11 @@ The row at permuted position p goes to shard p mod S, slot p div S. So row count
 
 Global row numbers need no global sort: rows fall into hash buckets, a bucket's rows are ordered by their hash, and the
 bucket's first number is the count of rows in the buckets before it. Rows that are equal in id, size and checksum are
-first counted together, so that a row repeated by a third of the table is one row until it is numbered.
+first counted together, so that a row repeated by a third of the table is one row until it is numbered, RANGE copies at a time.
 
 Defined cases: null text counts as empty (size 16, checksum 0). Null and repeated ids are rows like any others. An empty
-table gives an empty result. Further columns are ignored. Texts of any length are read once, for size and checksum.
+table gives an empty result. Further columns are ignored. Texts of any length are read once, for size and checksum. Rows tied in their hash are
+ordered by id, size and checksum; rows tied in those too are interchangeable.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ SHARDS = 40
 SEED = 20_240_917
 ROUNDS = 6
 BUCKET_ROWS = 100_000
-MOST_BUCKETS = 16_384
-#: Steps of a walk beyond which the query fails rather than go on; their chance is below (2 / sqrt(rows)) ** 64.
+#: Copies of one row that one task numbers.
+RANGE = 100_000
+#: Steps of a walk beyond which the query fails rather than go on. With 4,096 rows or fewer no walk is longer; with more, the chance of one is
+#: below (1 / sqrt(rows)) ** 64.
 MOST_STEPS = 64
 
 
@@ -55,23 +58,26 @@ def permuted(x: Column, n: int, seed: int = SEED) -> Column:
     return F.when(first < n, first).otherwise(walk)
 
 
-def numbered(rows: DataFrame, keys: list[str], n: int, seed: int = SEED) -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], n: int, most: int, seed: int = SEED) -> DataFrame:
     """Adds row_number (0 .. n-1), which depends on the rows alone and not on how they are partitioned.
 
-    rows: distinct keys and `copies`, the number of times that each occurs.
+    rows: distinct keys and `copies`, the number of times that each occurs (`most` at most).
     """
-    buckets = min(MOST_BUCKETS, max(1, n // BUCKET_ROWS))
+    buckets = max(1, n // BUCKET_ROWS)
     rows = rows.withColumn("h", F.xxhash64(*keys, F.lit(seed))).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
-    # at most MOST_BUCKETS rows
+    # one row for each BUCKET_ROWS rows
     starts = rows.groupBy("bucket").agg(F.sum("copies").alias("held"))
     starts = starts.select("bucket", (F.sum("held").over(Window.orderBy("bucket")) - F.col("held")).alias("start"))
     inside = Window.partitionBy("bucket").orderBy("h", *keys)
+    rows = rows.withColumn("past", F.sum("copies").over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(sized(starts), "bucket")
+    rows = rows.withColumn("part", F.explode(F.expr(f"sequence(0, (copies - 1) div {RANGE})")))
+    if most > RANGE:  # copies of one row are spread over tasks
+        rows = rows.repartition("h", "part")
+    copy = F.sequence(F.col("part") * RANGE + 1, F.least(F.col("copies"), (F.col("part") + 1) * RANGE))
     return (
-        rows.withColumn("past", F.sum("copies").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        .join(sized(starts), "bucket")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        rows.withColumn("copy", F.explode(copy))
         .withColumn("row_number", F.col("start") + F.col("past") - F.col("copy"))
-        .drop("h", "bucket", "start", "past", "copy", "copies")
+        .drop("h", "bucket", "start", "past", "part", "copy", "copies")
     )
 
 
@@ -85,8 +91,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     )
     keys = slim.columns
     slim = cut(slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")), "shard")
-    n = slim.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    rows = numbered(slim, keys, n, seed)
+    n, most = slim.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.max("copies"), F.lit(0))).first()
+    rows = numbered(slim, keys, n, most, seed)
     return rows.select(*keys, permuted(F.col("row_number"), n, seed).alias("position")).select(
         *keys,
         "position",
