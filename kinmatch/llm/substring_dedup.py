@@ -91,6 +91,10 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def _blank(b: np.ndarray) -> np.ndarray:
+    return (b == 32) | ((b >= 9) & (b <= 13))
+
+
 def words(b: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word, whole texts in blocks that end between words."""
     out, at = [np.zeros(0, np.uint64)], 0
@@ -98,12 +102,12 @@ def words(b: np.ndarray) -> np.ndarray:
         end = len(b)
         if end - at > BLOCK:
             for low in range(at + BLOCK, len(b), BLOCK):
-                gap = np.flatnonzero(b[low : low + BLOCK] == 32)
+                gap = np.flatnonzero(_blank(b[low : low + BLOCK]))
                 if len(gap):
                     end = low + int(gap[0])
                     break
         part = b[at:end]
-        held = np.r_[False, ~((part == 32) | ((part >= 9) & (part <= 13))), False]
+        held = np.r_[False, ~_blank(part), False]
         edge = np.flatnonzero(held[1:] != held[:-1])
         first, past = edge[::2], edge[1::2]
         with np.errstate(over="ignore"):

@@ -132,6 +132,8 @@ def test_words_in_blocks(monkeypatch):
     monkeypatch.setattr(sd, "BLOCK", 64)
     assert (sd.words(np.frombuffer(text, np.uint8)) == whole).all()
     assert len(sd.words(np.frombuffer(b"x" * 500 + b" y", np.uint8))) == 2
+    lines = text.replace(b" \t", b"\n")
+    assert (sd.words(np.frombuffer(lines, np.uint8)) == whole).all()
 
 
 def test_odd_rows(odd_docs, odd_items):
