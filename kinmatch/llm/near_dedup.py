@@ -6,8 +6,8 @@
    hash that differs from node to node, and chunks are compared exhaustively. Copies of one text, however many, mostly become one component here:
    a chunk connects its members, and those members connect the chunks of the other path.
 4. The second round takes the other paths. A node whose classes are all connected already is left out. One with more than SMALL classes outside
-   its largest component branches on BRANCHES positions chosen by the node, down to DEPTH levels, or DEEPEST while it has more than LARGEST classes.
-   Then every class outside the largest component is compared with all of the node; a large component is cut into chunks that each meet all
+   its one large component branches on BRANCHES positions chosen by the node, down to DEPTH levels, or DEEPEST while it has more than LARGEST classes.
+   Then every class outside the large component is compared with all of the node; that component is cut into chunks that each meet all
    the others. What is still larger than LARGEST at DEEPEST levels has all pairs of its chunks compared, so nothing is left out.
 5. Comparing is in two steps. Signatures are compared exhaustively, and classes without a partner outside their component with an estimate of FLOOR
    or more leave. The standard error at 0.75 is 0.038, so a true link is lost here with a chance of about 7.5e-5. What is left meets in the
@@ -42,7 +42,9 @@ SIGNATURE = 128
 TREES, BRANCHES, DEPTH, DEEPEST = 4, 3, 3, 6
 #: Root paths of the first round, and its largest chunk.
 FIRST, CHUNK = 2, 512
-SMALL = 64
+#: What a node may hold outside its large component and be compared exhaustively. Comparing a signature with 512 others takes less than
+#: making, dealing and counting three children of it.
+SMALL = 512
 LARGEST = 2048
 FLOOR = 0.6
 
@@ -150,7 +152,7 @@ def by_node(each: Callable[[pd.DataFrame], pd.DataFrame | None]) -> Callable[[It
 
 
 def children(rows: DataFrame, sigs: DataFrame) -> DataFrame:
-    """rows (node, key, label) of large nodes: for each BRANCHES rows with the child nodes."""
+    """rows (node, key, label, big) of large nodes: for each BRANCHES rows with the child nodes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -164,9 +166,9 @@ def children(rows: DataFrame, sigs: DataFrame) -> DataFrame:
                 at = ((first + np.uint64(b) * step) % np.uint64(SIGNATURE)).astype(np.int64)
                 value = sig[np.arange(len(sig)), at].astype(np.uint64)
                 child = _mix(_mix(node + np.uint64(b + 1)) ^ (value + (at.astype(np.uint64) << np.uint64(16))))
-                yield pd.DataFrame({"node": child.view(np.int64), "key": batch["key"], "label": batch["label"]})
+                yield pd.DataFrame({"node": child.view(np.int64), "key": batch["key"], "label": batch["label"], "big": batch["big"]})
 
-    return rows.join(sigs, "key").select("node", "key", "label", "sig").mapInPandas(run, "node long, key long, label long")
+    return rows.join(sigs, "key").select("node", "key", "label", "big", "sig").mapInPandas(run, "node long, key long, label long, big boolean")
 
 
 def chunk_of(chunks: Column) -> Column:
@@ -200,23 +202,29 @@ def met(rows: DataFrame) -> DataFrame:
 
 
 def branched(rows: DataFrame, sigs: DataFrame) -> DataFrame:
-    """rows (node, key, label) at the roots: (node, key, label) of all leaves that hold more than one component."""
+    """rows (node, key, label, big) at the roots: (node, key, label) of all leaves that hold more than one component.
+
+    Only a component that is big (more than SMALL classes in all), and the only one of these in a node, can leave SMALL classes or fewer
+    outside it there, so one aggregate by node tells which nodes branch.
+    """
     found = []
+    of_big = F.when(F.col("big"), F.col("label"))
     for depth in range(1, DEEPEST + 1):
-        several = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-        held = cut(rows.join(sized(cut(several.select("node", "size"), "sizes")), "node"), "nodes")
+        several = rows.groupBy("node").agg(
+            F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"),
+            F.count(of_big).alias("most"), F.min(of_big).alias("main"), F.max(of_big).alias("other"),
+        ).where("low != high")
+        several = several.select("node", "size", F.when(F.col("main") == F.col("other"), F.col("most")).otherwise(F.lit(0)).alias("most"), "main")
+        held = cut(rows.join(sized(cut(several, "sizes")), "node"), "nodes")
         found.append(held.where(F.col("size") <= SMALL).select("node", "key", "label"))
         large = held.where(F.col("size") > SMALL)
         if large.isEmpty():
             break
-        per = large.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
-        per = per.groupBy("node").agg(F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main"))
-        large = large.join(sized(cut(per, "mains")), "node")
         due = F.col("size") - F.col("most") > SMALL  # to be branched
         due &= F.lit(depth < DEEPEST) & (F.lit(depth < DEPTH) | (F.col("size") > LARGEST))
         found.append(met(large.where(~due)))
         if depth < DEEPEST:
-            rows = cut(children(large.where(due).select("node", "key", "label"), sigs), "children")
+            rows = cut(children(large.where(due).select("node", "key", "label", "big"), sigs), "children")
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
@@ -331,12 +339,14 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     reps = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("row"), F.first("key").alias("key"), F.first("sig").alias("sig"), F.first("roots").alias("roots"))
     reps = cut(reps, "classes")
     sigs = reps.select("key", "sig")
-    roots = lambda named, low, high: named.select(F.explode(F.slice("roots", low + 1, high - low)).alias("node"), "key", "label")
-    held = cut(active(unbranched(roots(reps.withColumn("label", F.col("key")), 0, FIRST)), sigs), "active")
+    roots = lambda named, low, high: named.select(F.explode(F.slice("roots", low + 1, high - low)).alias("node"), *[c for c in named.columns if c != "roots"])
+    held = cut(active(unbranched(roots(reps.select("roots", "key", F.col("key").alias("label")), 0, FIRST)), sigs), "active")
     sets = cut(full_sets(docs, reps, held.select("key").distinct()), "sets")
     labels = components(confirm(held, sets)).select(F.col("id").alias("key"), F.col("component").alias("label"))
     labels = cut(labels, "labels")
-    named = reps.select("key", "roots").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    sizes = labels.groupBy("label").agg((F.count(F.lit(1)) > SMALL).alias("big"))
+    named = reps.select("key", "roots").join(labels.join(sizes, "label"), "key", "left")
+    named = named.select("roots", "key", F.coalesce("label", "key").alias("label"), F.coalesce("big", F.lit(False)).alias("big"))
     held = cut(active(branched(roots(named, FIRST, TREES * BRANCHES), sigs), sigs), "active")
     if not held.isEmpty():
         more = held.select("key").distinct().join(sets.select("key"), "key", "left_anti")
