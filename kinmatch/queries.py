@@ -614,8 +614,8 @@ SCORES = f"""{SCORED}, es AS (
     ELSE 1.25 :: DOUBLE * (tp / pred :: DOUBLE) * (tp / truth_cnt :: DOUBLE) / (0.25 :: DOUBLE * (tp / pred :: DOUBLE) + tp / truth_cnt :: DOUBLE) END AS f05 FROM es)"""
 
 
-def _scored(spark, sf_dir):
-    pairs = truth.label(_candidates(spark, sf_dir), _resolved(spark, sf_dir))
+def _scored(spark, sf_dir, found=None):
+    pairs = truth.label(_candidates(spark, sf_dir) if found is None else found, _resolved(spark, sf_dir))
     p = F.round(F.col("score") / (F.col("score") + 100), 6)
     return pairs.select("a_id", "b_id", (F.col("target") == "S3").cast("int").alias("src"), p.alias("p"), "label")
 
@@ -693,8 +693,9 @@ def threshold_grid(spark, sf_dir):
 round(avg(coalesce(c, 0)), 6) AS avg_candidates FROM rec LEFT JOIN (SELECT a_id, count(*) AS m FROM kept GROUP BY a_id) k ON k.a_id = entity_id
 LEFT JOIN (SELECT a_id, count(*) AS c FROM cand GROUP BY a_id) n ON n.a_id = entity_id WHERE source = 'S1' GROUP BY 1""")
 def prediction_summary(spark, sf_dir):
-    predicted = decode.predictions(_scored(spark, sf_dir), THR2, THR3)
-    return report.prediction_summary(_anchors(spark, sf_dir), predicted, _candidates(spark, sf_dir))
+    found = stage(_candidates(spark, sf_dir), "pairs")  # counted and scored
+    predicted = decode.predictions(_scored(spark, sf_dir, found), THR2, THR3)
+    return report.prediction_summary(_anchors(spark, sf_dir), predicted, found)
 
 
 # --- splits ----------------------------------------------------------------------------------------------------------

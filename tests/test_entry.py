@@ -38,3 +38,10 @@ def test_against_sql(spark, sql, name):
 def test_entry(spark):
     assert entry.entry(spark).columns == ["a_id", "b_id", "target", "score"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_prediction_summary_finds_candidates_once(spark, sql, monkeypatch):
+    calls, votes = [], queries.blocking.votes
+    monkeypatch.setattr(queries.blocking, "votes", lambda *a: calls.append(a) or votes(*a))
+    test_against_sql(spark, sql, "prediction_summary")
+    assert len(calls) == 1
