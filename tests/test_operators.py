@@ -182,3 +182,11 @@ def test_the_query_fits_the_operators_default_model(spark, monkeypatch):
     monkeypatch.setattr(model, "score", lambda rows, fitted: rows)
     queries.gbt_scores(spark, "")
     assert given == [model.GbtParams()]
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_terms_are_counted_once(small):
+    assert plan(tfidf.weights(small)).count("Generate explode") == 0  # frequencies and weights read the written counts
