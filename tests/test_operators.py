@@ -190,3 +190,8 @@ def plan(df):
 
 def test_terms_are_counted_once(small):
     assert plan(tfidf.weights(small)).count("Generate explode") == 0  # frequencies and weights read the written counts
+
+
+def test_vectors_are_made_once(spark, small):
+    pairs = frame(spark, [("S1-1", "S2-1"), ("S1-1", "S3-2")], "a_id string, b_id string")
+    assert "Window" not in plan(tfidf.pair_cosines(small, pairs))  # both sides of a pair read the written vectors
