@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from kinmatch.operators import blocking, decode, metric, model, ranking, records, rescue, split, tfidf, truth
+from kinmatch.operators import blocking, decode, features, metric, model, ranking, records, rescue, split, tfidf, truth
 
 RECORDS = "entity_id string, business_name string, business_address string, country string"
 
@@ -195,3 +195,9 @@ def test_terms_are_counted_once(small):
 def test_vectors_are_made_once(spark, small):
     pairs = frame(spark, [("S1-1", "S2-1"), ("S1-1", "S3-2")], "a_id string, b_id string")
     assert "Window" not in plan(tfidf.pair_cosines(small, pairs))  # both sides of a pair read the written vectors
+
+
+def test_features_read_written_cosines(spark, small):
+    pairs = frame(spark, [("S1-1", "S2-1"), ("S1-1", "S3-2")], "a_id string, b_id string")
+    made = features.build_features(pairs, small)
+    assert "run(" not in plan(made) and made.count() == 2  # dot products are in the written table
