@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, release
 
 LENGTH = 400
 PASSAGE = 50
@@ -400,10 +400,11 @@ def one_by_one(rows: DataFrame, hot: DataFrame, over: tuple[Units, ...]) -> Data
 
 def repeated_runs(rows: DataFrame, over: tuple[Units, ...], bucket: int = BUCKET, largest: int = LARGEST) -> DataFrame:
     """rows from keyed(): (kind, row, first, past), runs of places whose window also starts elsewhere."""
-    found = cut(all_regions(rows, over), "regions")
+    every = cut(all_regions(rows, over), "regions")
     # written first: an aggregate beside the join would keep Spark from splitting a hot anchor
-    shared = cut(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
-    found = cut(found.join(shared.hint("merge"), "anchor"), "shared")
+    shared = cut(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
+    found = cut(every.join(shared.hint("merge"), "anchor"), "shared")
+    release(every, shared)
     per_class = found.groupBy("kind", "anchor", "region").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "low", "starts")).alias("one"))
     classes = cut(per_class.select("kind", "anchor", "region", "n", "one.*"), "classes")
     size = F.when(F.col("kind") == 0, F.col("starts") + over[0].length).otherwise(8 * (F.col("starts") + over[1].length))
@@ -414,6 +415,7 @@ def repeated_runs(rows: DataFrame, over: tuple[Units, ...], bucket: int = BUCKET
     whole = classes.where("n > 1").select("anchor", "region", F.lit(0).cast("long").alias("first"), F.col("starts").cast("long").alias("past"))
     buckets = {u.kind: max(1, total.get(u.kind, 0) // bucket) for u in over}
     flagged = cut(whole.union(by_transform(class_parts(rows, small, over), buckets, over)), "flagged")
+    release(classes)  # before the texts are shuffled once more
     out = found.join(flagged, ["anchor", "region"]).select(
         "kind", "row", (F.col("low") + F.col("first")).alias("first"), (F.col("low") + F.col("past")).alias("past")
     )

@@ -1,3 +1,4 @@
+import os
 import random
 from collections import Counter
 
@@ -8,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kinmatch.llm import substring_dedup as sd
+from kinmatch.staging import shared_dir
 
 
 def brute(texts, length):
@@ -142,3 +144,12 @@ def test_odd_rows(odd_docs, odd_items):
 
 def test_no_rows(no_docs):
     assert sd.remove_repeats(no_docs).collect() == []
+
+
+def test_tables_go_when_no_step_reads_them(spark):
+    at = shared_dir(spark).removeprefix("file:")
+    held = lambda: {n for n in os.listdir(at) if n.startswith(("regions-", "anchors-", "classes-"))}
+    before = held()
+    docs = spark.createDataFrame([(1, "abcdefgh" * 90), (2, "x" + "abcdefgh" * 90)], "doc_id long, text string")
+    made = sd.remove_repeats(docs)
+    assert held() == before and sorted(r["doc_id"] for r in made.collect()) == [1, 2]
