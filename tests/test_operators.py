@@ -1,9 +1,11 @@
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from kinmatch import staging
 from kinmatch.operators import blocking, decode, features, metric, model, ranking, records, rescue, split, tfidf, truth
 
 RECORDS = "entity_id string, business_name string, business_address string, country string"
@@ -201,3 +203,20 @@ def test_features_read_written_cosines(spark, small):
     pairs = frame(spark, [("S1-1", "S2-1"), ("S1-1", "S3-2")], "a_id string, b_id string")
     made = features.build_features(pairs, small)
     assert "run(" not in plan(made) and made.count() == 2  # dot products are in the written table
+
+
+def test_tables_of_the_cosines_go_when_read(spark, small):
+    at = Path(staging.shared_dir(spark).removeprefix("file:"))
+    kept = lambda: {p.name.rpartition("-")[0] for p in at.iterdir() if p not in before}
+    before = set(at.iterdir())
+    pairs = frame(spark, [("S1-1", "S2-1"), ("S1-1", "S3-2")], "a_id string, b_id string")
+    made = features.build_features(pairs, small)
+    assert kept() == {"cosines"} and made.count() == 2
+
+
+def test_boosting_starts_on_a_collected_heap(spark, monkeypatch):
+    done = []
+    monkeypatch.setattr(model, "collect_garbage", lambda session: done.append("collected"), raising=False)
+    monkeypatch.setattr(model.Pipeline, "fit", lambda self, rows: done.append("fitted"))
+    model.fit(frame(spark, [(0, 0.5, 1)], "src int, base double, label int"), ["src", "base"])
+    assert done == ["collected", "fitted"]
