@@ -199,6 +199,31 @@ def test_vectors_are_made_once(spark, small):
     assert "Window" not in plan(tfidf.pair_cosines(small, pairs))  # both sides of a pair read the written vectors
 
 
+def test_pairs_meet_texts_not_vectors(spark, small):
+    pairs = frame(spark, [("S1-1", "S2-1"), ("S1-1", "S3-2")], "a_id string, b_id string")
+    assert "term" not in plan(tfidf.pair_cosines(small, pairs))
+
+
+def test_cosines_don_t_depend_on_how_many_terms_are_held(spark, monkeypatch):
+    rng = random.Random(4)
+    name = lambda: " ".join(rng.choice(["acme", "Ünal", "x", "foods", "3m", "a-b_c", "日本", "acme"]) for _ in range(rng.randrange(5)))
+    raw = [frame(spark, [(f"S{k}-{i}", name(), name(), "IN") for i in range(20)]) for k in (1, 2, 3)]
+    held = records.build_records(*raw)
+    pairs = frame(spark, [(f"S1-{i}", f"S{k}-{j}") for i in range(20) for k in (2, 3) for j in range(0, 20, 3)] + [("S1-1", "none")], "a_id string, b_id string")
+    cosines = lambda: {tuple(r) for r in tfidf.pair_cosines(held, pairs).collect()}
+    some = cosines()
+    assert len(some) == 281 and len({r[4] for r in some}) > 20
+    monkeypatch.setattr(tfidf, "KEPT", 0)
+    assert cosines() == some
+    monkeypatch.setattr(tfidf, "VOCABULARY", 0)
+    assert cosines() == some and "term" in plan(tfidf.pair_cosines(held, pairs))
+
+
+def test_features_of_two_records_are_written_once(spark, small):
+    pairs = frame(spark, [("S1-1", "S2-1"), ("S1-1", "S3-2")], "a_id string, b_id string")
+    assert "aligned(" not in plan(features.build_features(pairs, small))  # cosines and string measures take one shuffle of the pairs
+
+
 def test_features_read_written_cosines(spark, small):
     pairs = frame(spark, [("S1-1", "S2-1"), ("S1-1", "S3-2")], "a_id string, b_id string")
     made = features.build_features(pairs, small)
