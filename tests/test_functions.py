@@ -1,6 +1,7 @@
 import random
 import unicodedata
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -94,3 +95,11 @@ def test_levenshtein_and_jaccard(spark):
         assert r["v"] == pytest.approx(1 - d[-1] / max(len(r["x"]), len(r["y"])))
     sets = spark.sql("SELECT array('a','b') AS x, array('b','c') AS y, CAST(array() AS array<string>) AS z")
     assert tuple(sets.select(S.jaccard(F.col("x"), F.col("y")), S.jaccard(F.col("x"), F.col("z"))).first()) == (1 / 3, None)
+
+
+def test_short_names_are_matched_together(monkeypatch):
+    names = [("martha", "marhta"), ("abxx", "abyyzzww"), ("a", "b"), ("dixon", "dicksonx"), ("é😀b", "b😀é"), ("ab", "ab"), ("a" * 64, "a" * 63 + "b")]
+    want = [S.jaro_winkler(x, y) for x, y in names]
+    one = pd.Series([x for x, _ in names]), pd.Series([y for _, y in names])
+    monkeypatch.setattr(S, "jaro_winkler", None)  # no pair is worked on alone
+    assert S.aligned.func(*one * 3)["n_jw"].tolist() == want
