@@ -239,6 +239,12 @@ def test_tables_of_the_cosines_go_when_read(spark, small):
     assert kept() == {"cosines"} and made.count() == 2
 
 
+def test_equal_inputs_are_given_once():
+    names = model.inputs(features.FEATURES)
+    assert len(names) == 40 and names[-5:] == ["n_ratio_missing", "nfull_tset_missing", "a_ratio_missing", "pc_eq_missing", "num_jacc_missing"]
+    assert model.inputs(["src", "n_jw", "n_lev", "base"])[4:] == ["n_jw_missing"]
+
+
 def test_boosting_starts_on_a_collected_heap(spark, monkeypatch):
     done = []
     monkeypatch.setattr(model, "collect_garbage", lambda session: done.append("collected"), raising=False)
