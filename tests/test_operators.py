@@ -239,6 +239,12 @@ def test_tables_of_the_cosines_go_when_read(spark, small):
     assert kept() == {"cosines"} and made.count() == 2
 
 
+def test_votes_and_their_best_take_one_shuffle(spark, small):
+    keys = staging.stage(blocking.blocking_keys(small), "keys")
+    made = blocking.top_candidates(blocking.votes(keys))._jdf.queryExecution().executedPlan().toString()
+    assert made.count("hashpartitioning(a_id") == 1
+
+
 def test_equal_inputs_are_given_once():
     names = model.inputs(features.FEATURES)
     assert len(names) == 40 and names[-5:] == ["n_ratio_missing", "nfull_tset_missing", "a_ratio_missing", "pc_eq_missing", "num_jacc_missing"]
